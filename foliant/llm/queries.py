@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from foliant.llm import packing, sharding, simhash
+from foliant.llm import packing, quality, rules, secrets, sharding, simhash, toxicity
 from foliant.llm.common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_sharding": sharding.op2_sharding,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op7_secret_scans": secrets.op7_secret_scans,
+        "op9_quality_rules": rules.op9_quality_rules,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
