@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import packing, quality, rules, secrets, sharding, simhash, toxicity
+from foliant.llm import dedup, packing, quality, rules, secrets, sharding, simhash, toxicity
 from foliant.llm.common import Query
 
 
@@ -12,6 +12,7 @@ def queries() -> dict[str, Query]:
         "op2_sharding": sharding.op2_sharding,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_suffix_array_dedup": dedup.op5_suffix_array_dedup,
         "op7_secret_scans": secrets.op7_secret_scans,
         "op9_quality_rules": rules.op9_quality_rules,
         "op10_toxicity": toxicity.op10_toxicity,
