@@ -74,3 +74,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+class WordMemo:
+    """Bytes made of words, kept for words that come again, in two generations of bounded size.
+
+    ``make`` gives a dict for a list of different words.  Words met again move to the younger
+    generation; the older one is dropped when that is full.  Results never depend on the bound.
+    """
+
+    def __init__(self, make: Callable[[list], dict], bound: int):
+        self.make, self.bound = make, bound
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def __call__(self, texts: list[list]) -> list[bytes]:
+        young, old, new = self.young, self.old, []
+        for w in set().union(*texts).difference(young):
+            got = old.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                young[w] = got
+        for at in range(0, len(new), 50_000):
+            young.update(self.make(new[at : at + 50_000]))
+        get = young.__getitem__
+        out = [b"".join(map(get, t)) for t in texts]
+        if len(young) > self.bound // 2:
+            self.young, self.old = {}, young
+        return out

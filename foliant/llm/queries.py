@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import dedup, packing, quality, rules, secrets, sharding, simhash, toxicity
+from foliant.llm import dedup, packing, quality, rules, secrets, sentencepieces, sharding, simhash, topk, toxicity
 from foliant.llm.common import Query
 
 
@@ -13,11 +13,13 @@ def queries() -> dict[str, Query]:
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_suffix_array_dedup": dedup.op5_suffix_array_dedup,
+        "op6_sentencepiece": sentencepieces.op6_sentencepiece,
         "op7_secret_scans": secrets.op7_secret_scans,
+        "op8_exact_top_k": topk.op8_exact_top_k,
         "op9_quality_rules": rules.op9_quality_rules,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_top_k": topk.OP8_SQL}
