@@ -60,8 +60,9 @@ class Pieces:
         for piece, i in self.normal.items():
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        # Where no piece goes on from a character to a blank, or over a line end, texts part there.
-        self.parts = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.normal)
+        # Where no piece goes on from a character to a blank, or over a line end, texts part there
+        # (but without bytes to fall back on, unknown characters to both sides are one id).
+        self.parts = self.byte_fallback and not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.normal)
         self.raw = [s.replace(BLANK, " ").encode() for s in self.surface]
         for i, k in enumerate(self.kind):
             if k in (CONTROL, UNKNOWN):
