@@ -337,6 +337,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.drop("__doc", "__tie", "__d", "__t", "__marks", "__cut")
 
 
+def as_text(raw_col: str):
+    """Bytes as text; those of a character that was cut go."""
+
+    @F.arrow_udf("string")
+    def udf(raw: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else r.decode("utf-8", "ignore") for r in raw.to_pylist()], pa.string())
+
+    return udf(F.col(raw_col))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

@@ -19,23 +19,23 @@ SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_hashes(text: bytes, words: int) -> list[int]:
-    """XXH64 (seed 42) of each shingle of a UTF-8 text, repeats included; A-Z in lower case."""
+def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> list[int]:
+    """XXH64 of each shingle of a UTF-8 text, repeats included; A-Z in lower case."""
     w = text.translate(_LOWER).split()  # bytes.split() parts at the six ASCII blanks, as the contract does
     if not w:
         return []
     h = xxhash.xxh64_intdigest
     if len(w) <= words:
-        return [h(b" ".join(w), SEED)]
+        return [h(b" ".join(w), seed)]
     shifted = [w[k:] for k in range(words)]
-    return [h(s, SEED) for s in map(b" ".join, zip(*shifted))]
+    return [h(s, seed) for s in map(b" ".join, zip(*shifted))]
 
 
-def fingerprints(texts: list[bytes], words: int = SHINGLE_WORDS) -> np.ndarray:
+def fingerprints(texts: list[bytes], words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
     """A 64-bit fingerprint a text: a bit is set if over half of the shingle hashes set it."""
     out = np.zeros(len(texts), np.uint64)
     for k, text in enumerate(texts):
-        hashes = shingle_hashes(text, words)
+        hashes = shingle_hashes(text, words, seed)
         if not hashes:
             continue
         ones = np.zeros(64, np.int64)
@@ -111,6 +111,153 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+# Wider fingerprints, for similarities that 64 bits can't tell apart.
+
+STAGE_WORDS = 5
+#: Two words of 64 bits; segments of 32 bits.
+WIDE_SEEDS = (42, 43)
+SEGMENT_BITS = 32
+#: Jaccard similarity J of shingle sets is cosine 2J / (1 + J) if the texts are as long; a bit then differs
+#: with probability acos(cosine) / pi.  For 0.8 and 128 bits: 19.
+SIMILARITY = 0.8
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_udf(words: int):
+    @F.arrow_udf("struct<w0:long,w1:long>")
+    def udf(text: pa.Array) -> pa.Array:
+        texts = text.cast(pa.binary()).to_pylist()
+        return pa.StructArray.from_arrays([pa.array(fingerprints(texts, words, seed).view(np.int64)) for seed in WIDE_SEEDS], ["w0", "w1"])
+
+    return udf
+
+
+def _segment_points(w: np.ndarray, flip: np.ndarray) -> np.ndarray:
+    """The point of each row: flip // 33 names the segment, flip % 33 the bit in it that is turned, 32 for none."""
+    segment, bit = flip // (SEGMENT_BITS + 1), flip % (SEGMENT_BITS + 1)
+    word = np.where(segment < 2, w[:, 0], w[:, 1]).view(np.uint64)
+    value = (word >> (32 * (segment % 2)).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+    turned = np.where(bit < SEGMENT_BITS, np.uint64(1) << np.minimum(bit, 31).astype(np.uint64), np.uint64(0))
+    return (value ^ turned) | (segment.astype(np.uint64) << np.uint64(32))
+
+
+def _point(flip: Column) -> Column:
+    """The same as SQL, to deal rows out and sort them by; it isn't stored."""
+    return F.expr("""
+        ((shiftrightunsigned(if(flip < 66, w0, w1), 32 * (cast(flip / 33 AS int) % 2)) & 4294967295L)
+         ^ if(flip % 33 < 32, shiftleft(1L, flip % 33), 0L)) | shiftleft(cast(cast(flip / 33 AS int) AS long), 32)""")
+
+
+def spanning_links(w: np.ndarray, most: int, block: int = 1024) -> np.ndarray:
+    """Pairs of rows, of all within ``most`` bits of each other as many as connect them; blocks of rows at a time."""
+    n = len(w)
+    root = np.arange(n)
+    out = []
+    w = w.view(np.uint64)
+    for i in range(0, n, block):
+        for j in range(0, i + 1, block):
+            far = sum(np.bitwise_count(w[i : i + block, None, k] ^ w[None, j : j + block, k]).astype(np.int16) for k in range(w.shape[1]))
+            a, b = np.nonzero(far <= most)
+            a, b = a + i, b + j
+            a, b = a[b < a], b[b < a]
+            while len(a):  # contract; pairs already joined fall away at once
+                ra, rb = root[a], root[b]
+                differ = ra != rb
+                a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+                if not len(a):
+                    break
+                high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+                one = np.unique(high, return_index=True)[1]  # one link for each root that goes
+                out.append(np.stack([a[one], b[one]], axis=1))
+                root[high[one]] = low[one]
+                while True:
+                    up = root[root]
+                    if (up == root).all():
+                        break
+                    root = up
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _match_points(most: int):
+    """Rows sorted by point in; links between rows of one point, their complete distance verified, out."""
+    kind = ("a0", "a1", "b0", "b1")
+
+    def links_of(w: np.ndarray, point: np.ndarray) -> pa.RecordBatch:
+        edges = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1], [True]]))
+        sizes = np.diff(edges)
+        found = []
+        two = edges[:-1][sizes == 2]
+        if len(two):
+            far = sum(np.bitwise_count((w[two, k] ^ w[two + 1, k]).view(np.uint64)).astype(np.int16) for k in range(2))
+            two = two[far <= most]
+            found.append(np.stack([two + 1, two], axis=1))
+        for a, n in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            found.append(spanning_links(w[a : a + n], most) + a)
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        ends = np.concatenate([w[pairs[:, 0]], w[pairs[:, 1]]], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in range(4)], list(kind))
+
+    def run(batches):
+        held_w, held_p = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = np.stack([batch.column("w0").to_numpy(), batch.column("w1").to_numpy()], axis=1)
+            point = _segment_points(w, batch.column("flip").to_numpy().astype(np.int64))
+            w, point = np.concatenate([held_w, w]), np.concatenate([held_p, point])
+            cut = int(np.flatnonzero(point != point[-1])[-1]) + 1 if (point != point[-1]).any() else 0  # the last point may go on
+            if cut:
+                yield links_of(w[:cut], point[:cut])
+            held_w, held_p = w[cut:], point[cut:]
+        if len(held_p):
+            yield links_of(held_w, held_p)
+
+    return run
+
+
+def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a0, a1, b0, b1) between different wide fingerprints (w0, w1).
+
+    Each of four 32-bit segments is a table.  A fingerprint puts its segment's ball of radius 1
+    into it, so two of them share a point of a table if they differ in at most 2 of its bits; any two
+    within 11 of 128 bits surely do for some table, others the oftener the nearer they are.
+    What shares a point is compared in all bits and linked at a similarity of ``similarity`` and more
+    by the fingerprints' estimate.  Within a point as many links are made as connect its rows.
+    """
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flips = nodes.select("w0", "w1", F.explode(F.sequence(F.lit(0), F.lit(4 * (SEGMENT_BITS + 1) - 1))).alias("flip"))
+    dealt = flips.repartition(parts, _point(F.col("flip"))).sortWithinPartitions(_point(F.col("flip")))
+    return dealt.mapInArrow(_match_points(most_bits(similarity, 128)), "a0 long, a1 long, b0 long, b1 long")
+
+
+_FIRST_ID = -(1 << 63)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``df`` with one row of each group of near duplicates: the one of the smallest id.
+
+    Texts are near if their ``words``-word shingles' wide fingerprints are (see wide_links); groups are the connected
+    components.  Equal fingerprints collapse first.  Texts without a word are one group.  Null
+    text counts as empty; a null id is smaller than any other.  Of rows of one id the smaller
+    checksum of the text decides, of equal rows one stays.  Columns of ``df`` stay as they are.
+    """
+    short_batches(df.sparkSession)
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    keyed = df.withColumn("__id", F.coalesce(df[id_col].cast("long"), F.lit(_FIRST_ID))).withColumn("__crc", F.crc32(text.cast("binary")))
+    rows = written(keyed.select("__id", "__crc", wide_udf(words)(text).alias("w")).select("__id", "__crc", "w.w0", "w.w1"))
+    nodes = rows.groupBy("w0", "w1").agg(F.min(F.struct("__id", "__crc")).alias("low")).withColumn("node", F.xxhash64("w0", "w1"))
+    found = wide_links(nodes.select("w0", "w1"), similarity)
+    roots = components(found.select(F.xxhash64("a0", "a1").alias("u"), F.xxhash64("b0", "b1").alias("v")))
+    named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("low").alias("low"))
+    keep = named.select(F.col("low.__id").alias("__kid"), F.col("low.__crc").alias("__kcrc"))
+    kept = keyed.join(keep, (F.col("__id") == F.col("__kid")) & (F.col("__crc") == F.col("__kcrc")), "left_semi")
+    return kept.dropDuplicates(["__id", "__crc"]).select(*df.columns)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
