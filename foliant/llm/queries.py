@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliant.llm import dedup, packing, quality, rules, secrets, sentencepieces, sharding, simhash, topk, toxicity
+from foliant.llm import dedup, packing, quality, rules, secrets, sentencepieces, sharding, simhash, sql, topk, toxicity
 from foliant.llm.common import Query
 
 
@@ -24,4 +24,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": topk.OP8_SQL}
+    return dict(sql.SQL)
