@@ -11,15 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_text, pieces, short_batches, table, written
+from foliant.llm.common import WordMemo, id_text, pieces, short_batches, table, written
 
 CAPACITY = 4096
 END_ID = 1
 #: A bin with at most this many free places is emitted; others go up the tree as items.
 SLACK = 4
 FAN_IN = 8
-#: Words whose ids a Python worker keeps; beyond it the cache starts anew.  Bounds memory only.
-CACHE_WORDS = 250_000
+#: Words whose ids a Python worker keeps, at about 200 bytes each.  Bounds memory only.
+CACHE_WORDS = 400_000
 
 _MEMBER = pa.struct([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BINS = "length int, sequence_id long, closed boolean, members array<struct<id:long,piece:int,start:long,length:long,ids_crc32:long>>"
@@ -28,8 +28,10 @@ _BINS = "length int, sequence_id long, closed boolean, members array<struct<id:l
 class WordEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, word by word.
 
-    For a tokenizer that drops white space and never joins characters across it, the ids of a
-    text are those of its blank-separated words in turn, so each different word is encoded once.
+    For a tokenizer that drops white space, lower-cases and never joins characters across
+    white space, the ids of a text are those of its blank-separated words in turn, so each
+    different word is encoded once.  New words go through the tokenizer many at a time, as one
+    text; its offsets tell which ids are whose.
     """
 
     def __init__(self, path: str):
@@ -37,22 +39,20 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
-        self.cache: dict[bytes, bytes] = {}
+        self.memo = WordMemo(self._encode, CACHE_WORDS)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = {w for ws in words for w in ws if w not in cache}
-        if new:
-            order = list(new)
-            for at in range(0, len(order), 20_000):
-                part = order[at : at + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        return self.memo([t.lower().split() for t in texts])  # bytes: only A-Z change, the tokenizer does the rest
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode() for w in words]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        encoded = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        at = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids))
+        whose = np.searchsorted(starts, at, side="right") - 1
+        ends = (4 * np.searchsorted(whose, np.arange(len(words)), side="right")).tolist()
+        return {w: ids[a:b] for w, a, b in zip(words, [0, *ends], ends)}
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
