@@ -142,9 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = written(docs.select(id_col).distinct().join(marks, id_col).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_rows))
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_")).join(F.broadcast(sample), id_col)  # at most max_rows ids
     rows = rows.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(2 * max_rows)
-    got = rows.select(id_col, "mark_", _statistics_udf()("text_").alias("x")).toPandas().sort_values(id_col, kind="stable")
-    x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(STATISTICS))
-    return fit_trees(x, got["mark_"].to_numpy(np.float64))
+    got = rows.select(id_col, "mark_", _statistics_udf()("text_").alias("x")).toArrow().sort_by(id_col)
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS)) if got.num_rows else np.zeros((0, len(STATISTICS)))
+    return fit_trees(x, got.column("mark_").to_numpy())
 
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,9 +126,9 @@ def _buckets_of(texts: pa.Array) -> list[np.ndarray]:
 
 
 def _hash_udf():
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("binary")
     def udf(text: pa.Array) -> pa.Array:
-        return pa.array([b.tolist() for b in _buckets_of(text)], pa.list_(pa.int32()))
+        return pa.array([b.astype("<i4").tobytes() for b in _buckets_of(text)], pa.binary())
 
     return udf
 
@@ -167,9 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most max_positive + max_unlabelled ids: a bounded broadcast.
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_")).join(F.broadcast(sample), id_col)
     rows = rows.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(2 * (max_positive + max_unlabelled)).select(id_col, "toxic_", "text_")
-    got = rows.select(id_col, "toxic_", _hash_udf()("text_").alias("buckets")).toPandas().sort_values(id_col, kind="stable")
-    arrays = [np.asarray(b, np.int32) for b in got["buckets"]]
-    toxic = got["toxic_"].to_numpy(bool)
+    # Buckets come as bytes in Arrow batches: about a kilobyte a row, never a Python object a number.
+    got = rows.select(id_col, "toxic_", _hash_udf()("text_").alias("buckets")).toArrow()
+    got = got.take(pa.compute.sort_indices(got, sort_keys=[(id_col, "ascending"), ("toxic_", "ascending"), ("buckets", "ascending")]))
+    arrays = [np.frombuffer(b.as_buffer(), "<i4") for b in got.column("buckets")]
+    toxic = got.column("toxic_").to_pylist()
     return nnpu_fit([a for a, y in zip(arrays, toxic) if y], [a for a, y in zip(arrays, toxic) if not y], prior)
 
 
