@@ -27,7 +27,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 #: What an unknown character's score is below the lowest of all.
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 CACHE_PAIRS = 1_000_000
 
 
@@ -70,6 +70,10 @@ class Pieces:
         for b, i in self.bytes_.items():
             self.raw[i] = bytes([b])
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.size = [len(x) for x in self.surface]
+        #: Characters that are pieces; in a BPE model that holds all characters of its pieces, others part a text.
+        self.known = {p for p in self.normal if len(p) == 1}
+        self.reachable = self.bpe and all(self.known.issuperset(p) for p in self.normal)
         self.memo = WordMemo(lambda words: {w: np.array(self.viterbi(w.replace(" ", BLANK)), "<u4").tobytes() for w in words}, CACHE_WORDS)
 
     def merges(self, text: str) -> list[str]:
@@ -95,8 +99,31 @@ class Pieces:
             known = self.pairs[a, b] = self.merges("".join(left) + self.surface[b]) == [*left, self.surface[b]]
         return known
 
+    def reach(self, text: str) -> list[int]:
+        """Ids of a text of known characters under BPE: the pass of ``viterbi`` where one path at most remains at
+        each position, so that the first piece admitted there is the best and scores needn't be summed."""
+        last: list[int | None] = [None] * (len(text) + 1)
+        last[0] = -1
+        pairs, pair = self.pairs, self._pair
+        for end, (size, i) in self.automaton.iter(text):
+            end += 1
+            if last[end] is None:
+                before = last[end - size]
+                if before is not None:
+                    ok = pairs.get((before, i))
+                    if ok or ok is None and pair(before, i):
+                        last[end] = i
+        out, at = [], len(text)
+        while at:
+            i = last[at]
+            out.append(i)
+            at -= self.size[i]
+        return out[::-1]
+
     def viterbi(self, text: str) -> list[int]:
         """Ids of an escaped text, by one pass over the automaton's reports."""
+        if self.reachable and self.known.issuperset(text):
+            return self.reach(text)
         n = len(text)
         worst = float("-inf")
         best, came, last = [worst] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
