@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import rules, secrets, topk
+from foliant.llm import rules, secrets, sharding, topk
 
 _DOCS = "SELECT doc_id, source, coalesce(text, '') AS text FROM documents"
 
@@ -74,4 +74,4 @@ FROM d LEFT JOIN bl ON d.doc_id = bl.doc_id LEFT JOIN al ON d.doc_id = al.doc_id
 """
 
 
-SQL = {"op7_secret_scans": _op7(), "op8_exact_top_k": topk.OP8_SQL, "op9_quality_rules": OP9}
+SQL = {"op2_sharding": sharding.OP2_SQL, "op7_secret_scans": _op7(), "op8_exact_top_k": topk.OP8_SQL, "op9_quality_rules": OP9}
