@@ -68,8 +68,8 @@ def _entropy(name: str, spans: str) -> str:
     return f"filter({narrowed}, x -> x.start IS NOT NULL)"
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """``df`` with base_spans and spans: arrays of (start, kind number, end, s), by start and then kind.
+def find_secrets(df: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, base: str = "base_spans", name: str = "spans") -> DataFrame:
+    """``df`` with the columns ``base`` and ``name``, base spans and all spans: arrays of (start, kind number, end, s), by start and then kind.
 
     Base spans are the three patterns' matches.  Candidates for added spans are runs of 20 and more
     characters with a letter and a digit; each belongs to one class, hexadecimal or
@@ -86,12 +86,12 @@ def find_secrets(df: DataFrame, text_col: str = "text", allowed: tuple[str, ...]
     t = t.withColumn("__hex", F.expr(f"if(__t RLIKE '[0-9a-f]{{24}}', {_spans('__t', HEX, 2)}, {empty})"))
     # A digit somewhere is needed, so texts without one skip the search for runs.
     t = t.withColumn("__runs", F.expr(f"if(__t RLIKE '[A-Za-z0-9+/=_-]{{0,19}}[0-9]' AND __t RLIKE '[A-Za-z0-9+/=_-]{{20}}', filter({_spans('__t', CANDIDATE, 0)}, x -> x.s RLIKE '[0-9]' AND x.s RLIKE '[A-Za-z]'), {empty})"))
-    t = t.withColumn("base_spans", F.expr("array_sort(concat(__assign, __access, __hex))"))
+    t = t.withColumn(base, F.expr("array_sort(concat(__assign, __access, __hex))"))
     hex_, rest = "filter(__runs, x -> x.s RLIKE '^[0-9a-fA-F]+$')", "filter(__runs, x -> NOT x.s RLIKE '^[0-9a-fA-F]+$')"
     added = f"if(size(__runs) = 0, {empty}, concat({_entropy('entropy_hex', hex_)}, {_entropy('entropy_base64', rest)}))"
     t = t.withColumn("__added", F.expr(added))
     listed = " OR ".join(f"contains(lower(x.s), '{w.lower()}')" for w in allowed) or "false"
-    t = t.withColumn("spans", F.expr(f"if(size(__added) = 0, base_spans, array_sort(concat(base_spans, filter(__added, x -> NOT ({listed}) AND NOT exists(base_spans, b -> b.start < x.end AND x.start < b.end)))))"))
+    t = t.withColumn(name, F.expr(f"if(size(__added) = 0, `{base}`, array_sort(concat(`{base}`, filter(__added, x -> NOT ({listed}) AND NOT exists(`{base}`, b -> b.start < x.end AND x.start < b.end)))))"))
     return t.drop("__t", "__assign", "__access", "__hex", "__runs", "__added")
 
 
@@ -103,10 +103,10 @@ def listed(spans: str) -> str:
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with each span of the text, overlapping ones together, replaced by ``mark``."""
-    t = find_secrets(df, text_col).withColumn("__t", F.col(text_col).cast("string"))
+    t = find_secrets(df, text_col, base="__base", name="__spans").withColumn("__t", F.col(text_col).cast("string"))
     step = f"""named_struct('at', greatest(a.at, x.end), 'out', if(x.start < a.at, a.out, concat(a.out, substring(__t, a.at + 1, x.start - a.at), '{mark}')))"""
-    cut = f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(__t, a.at + 1)))"
-    return t.withColumn(text_col, F.expr(f"if(size(spans) = 0, `{text_col}`, {cut})")).drop("__t", "spans", "base_spans")
+    cut = f"aggregate(__spans, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(__t, a.at + 1)))"
+    return t.withColumn(text_col, F.expr(f"if(size(__spans) = 0, `{text_col}`, {cut})")).drop("__t", "__base", "__spans")
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

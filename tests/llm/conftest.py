@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, length int"
+CLASH = (None, "r", True, 1, "s", 2, "i")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, length int, spans string, raw string, kept boolean, score int, shard string, w0 int, ids string"
 
 
 @pytest.fixture(scope="session")
@@ -24,8 +25,8 @@ def texts():
 @pytest.fixture(scope="session")
 def docs(spark, texts):
     """Those texts as documents, with repeated and null ids, nulls elsewhere and clashing extra columns."""
-    rows = [(k, t, None if k % 5 else "en", f"s{k % 3}" if k % 7 else None, None, "id", "fp", k) for k, t in enumerate(texts)]
-    rows += [(None, "one two", "en", "s1", 3, None, None, None), (3, "one", "en", "s1", 3, None, None, None), (3, "one", "en", "s1", 3, None, None, None)]
+    rows = [(k, t, None if k % 5 else "en", f"s{k % 3}" if k % 7 else None, None, "id", "fp", k, *CLASH) for k, t in enumerate(texts)]
+    rows += [(None, "one two", "en", "s1", 3, None, None, None, *CLASH), (3, "one", "en", "s1", 3, None, None, None, *CLASH), (3, "one", "en", "s1", 3, None, None, None, *CLASH)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
