@@ -29,7 +29,7 @@ def plain(rows, length):
 
 def compare(df, length=100, **options):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    want, got = plain(rows, length), remove_repeats(df, length=length, **options).collect()
+    want, got = plain(rows, length), remove_repeats(df, length=length, **options).select("doc_id", "text", "dedup.*").collect()
     assert len(got) == len(rows)
     for r in got:
         spans = [(s.start, s.end) for s in r.spans]
@@ -43,8 +43,8 @@ def test_every_case(docs, none):
     assert remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("length,shard", [(100, 1 << 20), (40, 1 << 20), (100, 700), (64, 200)])
-def test_random_passages(spark, length, shard):
+@pytest.mark.parametrize("length,shard,part", [(100, 1 << 20, 4096), (40, 1 << 20, 3), (100, 700, 4096), (64, 200, 2), (100, 900, 5)])
+def test_random_passages(spark, length, shard, part):
     r = random.Random(length + shard)
     chars = "ab é"
     bits = ["".join(r.choice(chars) for _ in range(r.randint(20, 250))) for _ in range(12)] + ["ab" * 80, "a" * 150]
@@ -55,7 +55,7 @@ def test_random_passages(spark, length, shard):
     ids = list(range(80))
     r.shuffle(ids)
     rows = list(zip(ids, texts)) + [(5, texts[3]), (5, texts[3]), (None, texts[9]), (None, bits[0] * 2)]
-    compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length, shard_bytes=shard)
+    compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length, shard_bytes=shard, part_contexts=part)
 
 
 def test_query(spark):
