@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import pieces, short_batches, table, written
+from foliant.llm.common import pieces, short_batches, table, trimmed, written
 from foliant.llm.suffixes import merge_shards, repeats
 
 LENGTH = 100
@@ -430,16 +430,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = source.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("__tie", (F.crc32("__raw") - F.lit(1 << 31)).cast("int"))
     bare = source.select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), F.col("__raw").alias("raw"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = bare.where(F.octet_length("raw") >= length).mapInArrow(_find_anchors(length, ANCHOR), _ROW)
+    rows = bare.where(F.octet_length("raw") >= length).mapInArrow(trimmed(_find_anchors(length, ANCHOR)), _ROW)
     rows = rows.repartition(parts, "key").sortWithinPartitions("anchor", "context", "doc", "tie", "at")
-    found = written(rows.mapInArrow(_by_anchor(length, ANCHOR, part_contexts), _FOUND))
+    found = written(rows.mapInArrow(trimmed(_by_anchor(length, ANCHOR, part_contexts)), _FOUND))
 
     asked = found.where("not mark").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "part", "first", "last")).alias("asked"))
-    cut = bare.join(asked, ["doc", "tie"]).mapInArrow(_cut_contexts(), "anchor long, part int, doc long, tie int, first int, raw binary")
+    cut = bare.join(asked, ["doc", "tie"]).mapInArrow(trimmed(_cut_contexts()), "anchor long, part int, doc long, tie int, first int, raw binary")
     cut = cut.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part", "doc", "tie", "first")
-    searched = written(cut.mapInArrow(_search_shards(length, shard_bytes, part_contexts), _SEARCHED))
+    searched = written(cut.mapInArrow(trimmed(_search_shards(length, shard_bytes, part_contexts)), _SEARCHED))
     across = searched.where("not mark").select("digests", "run").repartition(parts, "digests").sortWithinPartitions("digests")
-    across = across.mapInArrow(_merge_runs(length), "doc long, tie int, first int, last int")
+    across = across.mapInArrow(trimmed(_merge_runs(length)), "doc long, tie int, first int, last int")
 
     marks = found.where("mark").select("doc", "tie", "first", "last").unionByName(searched.where("mark").select("doc", "tie", "first", "last")).unionByName(across)
     marks = marks.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("__marks"))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WordMemo, id_text, pieces, short_batches, table, written
+from foliant.llm.common import WordMemo, id_text, pieces, short_batches, table, trimmed, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -19,7 +19,7 @@ END_ID = 1
 SLACK = 4
 FAN_IN = 8
 #: Words whose ids a Python worker keeps, at about 200 bytes each.  Bounds memory only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _MEMBER = pa.struct([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BINS = "length int, sequence_id long, closed boolean, members array<struct<id:long,piece:int,start:long,length:long,ids_crc32:long>>"
@@ -162,7 +162,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     short_batches(df.sparkSession)
     rows = id_text(df, id_col, text_col)
     level, parts = 0, max(1, rows.rdd.getNumPartitions())
-    now = written(rows.withColumn("id", F.col("id").cast("long")).mapInArrow(_tokenise_and_pack(tokenizer, capacity, slack, end_id), _BINS))
+    now = written(rows.withColumn("id", F.col("id").cast("long")).mapInArrow(trimmed(_tokenise_and_pack(tokenizer, capacity, slack, end_id)), _BINS))
     done = []
     while True:
         if level and parts == 1:
@@ -172,7 +172,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         level, parts = level + 1, -(-parts // FAN_IN)
         open_ = now.where("not closed")
         open_ = open_.repartition(1) if parts == 1 else open_.repartition(parts, "sequence_id")
-        now = written(open_.mapInArrow(_pack_again(level, capacity, slack), _BINS))
+        now = written(open_.mapInArrow(trimmed(_pack_again(level, capacity, slack)), _BINS))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_text, short_batches, table, written
+from foliant.llm.common import id_text, short_batches, table, trimmed, written
 from foliant.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -231,7 +231,7 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flips = nodes.select("w0", "w1", F.explode(F.sequence(F.lit(0), F.lit(4 * (SEGMENT_BITS + 1) - 1))).alias("flip"))
     dealt = flips.repartition(parts, _point(F.col("flip"))).sortWithinPartitions(_point(F.col("flip")))
-    return dealt.mapInArrow(_match_points(most_bits(similarity, 128)), "a0 long, a1 long, b0 long, b1 long")
+    return dealt.mapInArrow(trimmed(_match_points(most_bits(similarity, 128))), "a0 long, a1 long, b0 long, b1 long")
 
 
 _FIRST_ID = -(1 << 63)

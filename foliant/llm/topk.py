@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, written
+from foliant.llm.common import table, trimmed, written
 
 SCALE = 256
 K = 5
@@ -106,7 +106,7 @@ def build_index(vectors: DataFrame, dim: int, pivots: np.ndarray) -> DataFrame:
     keyed = written(vectors.withColumn("k", key("v")).select("id", "v", "k.pivot", "k.distance"))  # also keeps range bounds and rows the same
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, "pivot", "distance", "id").sortWithinPartitions("pivot", "distance", "id")
-    return written(ordered.mapInArrow(_build(dim), _ANNULUS))
+    return written(ordered.mapInArrow(trimmed(_build(dim)), _ANNULUS))
 
 
 def search_group(q_ids: np.ndarray, q: np.ndarray, annuli: list[tuple], pivots: np.ndarray, k: int, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

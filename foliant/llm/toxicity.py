@@ -31,7 +31,7 @@ _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 class WordHasher:
     """The different words of a text as sorted bucket numbers; buckets of seen words are kept, up to a bound."""
 
-    def __init__(self, bound: int = 200_000):
+    def __init__(self, bound: int = 60_000):
         self.seen: dict[bytes, int] = {}
         self.bound = bound
 
