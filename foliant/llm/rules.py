@@ -17,7 +17,7 @@ HOST_RATE = 0.5
 #: The prior's weight, in documents, stays between these.
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 10_000.0
 
-BLANKS = r" \t\n\u000B\f\r"
+BLANKS = r" \t\n\u000B\u000C\r"  # SQL literals know no \f
 
 
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:

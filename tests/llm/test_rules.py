@@ -25,6 +25,12 @@ def test_every_case(docs, none):
     assert filter_by_host(none).count() == 0
 
 
+def test_letters_f_and_form_feeds_at_the_ends(spark):
+    texts = ["free of", "f", "ff f", "fluff\nf\nf\nff\nf", "\x0cone two\x0c", "\x0c", "a\n\x0c\n\x0c\n\x0ca", "f\x0cf \x0c", "f " * 20, "\x0b\x0c\r of"]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    check(filter_by_host(spark.createDataFrame(rows, "doc_id long, text string, source string")).drop("failed", "host_rate").collect(), list(enumerate(texts)))
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
