@@ -111,56 +111,85 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-# Wider fingerprints, for similarities that 64 bits can't tell apart.
+# Near duplicates by the similarity of shingle sets: bands of smallest hashes find the pairs, the sets decide.
 
 STAGE_WORDS = 5
-#: Two words of 64 bits; segments of 32 bits.
-WIDE_SEEDS = (42, 43)
-SEGMENT_BITS = 32
-#: Jaccard similarity J of shingle sets is cosine 2J / (1 + J) if the texts are as long; a bit then differs
-#: with probability acos(cosine) / pi.  For 0.8 and 128 bits: 19.
+#: Least Jaccard similarity of near duplicates.
 SIMILARITY = 0.8
+#: Two texts meet if all BAND_ROWS smallest hashes of some band agree; at 0.8 they miss each other in
+#: (1 - 0.8 ** 5) ** 32, 3 of a million pairs, at 0.9 in none of 10 ** 12.
+BANDS, BAND_ROWS = 32, 5
+#: Different hubs that the bands of a group have.
+HUBS = 4
 
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), np.uint64).astype(np.uint32)
+_MIX[1] |= np.uint32(1)
 
-def most_bits(similarity: float, bits: int) -> int:
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
-def wide_udf(words: int):
-    @F.arrow_udf("struct<w0:long,w1:long>")
+
+def band_keys(hashes: np.ndarray, block: int = 1024) -> np.ndarray:
+    """A 64-bit key a band of a set that isn't empty; memory is bounded for very long texts."""
+    h = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)[None, :]
+    least = np.full(len(_MIX[0]), 0xFFFFFFFF, np.uint32)
+    for at in range(0, h.shape[1], block):
+        least = np.minimum(least, ((h[:, at : at + block] ^ _MIX[0]) * _MIX[1]).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(BAND_ROWS):
+        key = (key ^ rows[:, k]) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def set_udf(words: int):
+    """node, a hash of the text's shingle set (0 if it is empty), and its bands' keys (none then)."""
+
+    @F.arrow_udf("struct<node:long,bands:array<long>>")
     def udf(text: pa.Array) -> pa.Array:
-        texts = text.cast(pa.binary()).to_pylist()
-        return pa.StructArray.from_arrays([pa.array(fingerprints(texts, words, seed).view(np.int64)) for seed in WIDE_SEEDS], ["w0", "w1"])
+        nodes, bands = [], []
+        for t in text.cast(pa.binary()):
+            s = shingle_set(t.as_py(), words)
+            nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0)
+            bands.append(band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
+        return pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
 
     return udf
 
 
-def _segment_points(w: np.ndarray, flip: np.ndarray) -> np.ndarray:
-    """The point of each row: flip // 33 names the segment, flip % 33 the bit in it that is turned, 32 for none."""
-    segment, bit = flip // (SEGMENT_BITS + 1), flip % (SEGMENT_BITS + 1)
-    word = np.where(segment < 2, w[:, 0], w[:, 1]).view(np.uint64)
-    value = (word >> (32 * (segment % 2)).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-    turned = np.where(bit < SEGMENT_BITS, np.uint64(1) << np.minimum(bit, 31).astype(np.uint64), np.uint64(0))
-    return (value ^ turned) | (segment.astype(np.uint64) << np.uint64(32))
+def near_udf(words: int, similarity: float):
+    """Whether the Jaccard similarity of two texts' shingle sets is ``similarity`` or more."""
+
+    @F.arrow_udf("boolean")
+    def udf(one: pa.Array, other: pa.Array) -> pa.Array:
+        out, last, held = [], None, set()
+        for a, b in zip(one.cast(pa.binary()), other.cast(pa.binary())):
+            a = a.as_py()
+            if a != last:  # rows come sorted by this side
+                last, held = a, set(shingle_hashes(a, words))
+            s = set(shingle_hashes(b.as_py(), words))
+            both = len(held & s)
+            out.append(both / max(1, len(held) + len(s) - both) >= similarity)
+        return pa.array(out, pa.bool_())
 
+    return udf
 
-def _point(flip: Column) -> Column:
-    """The same as SQL, to deal rows out and sort them by; it isn't stored."""
-    return F.expr("""
-        ((shiftrightunsigned(if(flip < 66, w0, w1), 32 * (cast(flip / 33 AS int) % 2)) & 4294967295L)
-         ^ if(flip % 33 < 32, shiftleft(1L, flip % 33), 0L)) | shiftleft(cast(cast(flip / 33 AS int) AS long), 32)""")
 
+def spanning(root: np.ndarray, near, block: int) -> np.ndarray:
+    """Pairs (a, b), a > b, of the near ones as many as connect all; blocks of rows at a time.
 
-def spanning_links(w: np.ndarray, most: int, block: int = 1024) -> np.ndarray:
-    """Pairs of rows, of all within ``most`` bits of each other as many as connect them; blocks of rows at a time."""
-    n = len(w)
-    root = np.arange(n)
+    ``root`` has for each row the first one that it's connected to already, and is changed;
+    ``near(i, j)`` judges the rows of the block from i against those of the one from j.
+    """
     out = []
-    w = w.view(np.uint64)
-    for i in range(0, n, block):
+    for i in range(0, len(root), block):
         for j in range(0, i + 1, block):
-            far = sum(np.bitwise_count(w[i : i + block, None, k] ^ w[None, j : j + block, k]).astype(np.int16) for k in range(w.shape[1]))
-            a, b = np.nonzero(far <= most)
+            if (root[i : i + block] == root[j]).all() and (root[j : j + block] == root[j]).all():
+                continue
+            a, b = np.nonzero(near(i, j))
             a, b = a + i, b + j
             a, b = a[b < a], b[b < a]
             while len(a):  # contract; pairs already joined fall away at once
@@ -177,61 +206,100 @@ def spanning_links(w: np.ndarray, most: int, block: int = 1024) -> np.ndarray:
                     up = root[root]
                     if (up == root).all():
                         break
-                    root = up
+                    root[:] = up
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _match_points(most: int):
-    """Rows sorted by point in; links between rows of one point, their complete distance verified, out."""
-    kind = ("a0", "a1", "b0", "b1")
-
-    def links_of(w: np.ndarray, point: np.ndarray) -> pa.RecordBatch:
-        edges = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1], [True]]))
-        sizes = np.diff(edges)
-        found = []
-        two = edges[:-1][sizes == 2]
-        if len(two):
-            far = sum(np.bitwise_count((w[two, k] ^ w[two + 1, k]).view(np.uint64)).astype(np.int16) for k in range(2))
-            two = two[far <= most]
-            found.append(np.stack([two + 1, two], axis=1))
-        for a, n in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            found.append(spanning_links(w[a : a + n], most) + a)
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        ends = np.concatenate([w[pairs[:, 0]], w[pairs[:, 1]]], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in range(4)], list(kind))
+def spanning_links(w: np.ndarray, most: int, block: int = 1024) -> np.ndarray:
+    """Pairs of rows, of all within ``most`` bits of each other as many as connect them; blocks of rows at a time."""
+    w = w.view(np.uint64)
+    near = lambda i, j: sum(np.bitwise_count(w[i : i + block, None, k] ^ w[None, j : j + block, k]).astype(np.int16) for k in range(w.shape[1])) <= most
+    return spanning(np.arange(len(w)), near, block)
+
+
+def set_links(sets: list[np.ndarray], roots: np.ndarray, similarity: float, cells: int = 1 << 22) -> np.ndarray:
+    """Pairs of sets whose Jaccard similarity is ``similarity`` or more, as many as connect those of different ``roots``.
+
+    All pairs are judged, by products of 0/1 matrices of at most ``cells`` entries; members of one set only have no column.
+    """
+    size = np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.where(shared, np.cumsum(shared) - 1, -1)[column]
+    wide, ends = int(shared.sum()), np.cumsum(size)
+    block = max(16, min(1024, cells // max(1, wide)))
+
+    def dense(i: int) -> np.ndarray:
+        part = size[i : i + block]
+        c = column[ends[i] - size[i] : ends[min(i + block, len(sets)) - 1]]
+        row = np.repeat(np.arange(len(part)), part)[c >= 0]
+        out = np.zeros((len(part), wide), np.float32)
+        out[row, c[c >= 0]] = 1
+        return out
+
+    def near(i: int, j: int) -> np.ndarray:
+        both = (dense(i) @ dense(j).T).astype(np.float64)
+        return both / np.maximum(1, size[i : i + block, None] + size[None, j : j + block] - both) >= similarity
+
+    _, first, back = np.unique(roots, return_index=True, return_inverse=True)
+    return spanning(first[back], near, block)
+
+
+def points_of(nodes: DataFrame) -> DataFrame:
+    """(node, band, turn) of each band of each node; ``turn`` deals the bands to HUBS orders of the nodes."""
+    return nodes.select("node", F.posexplode("bands").alias("turn", "band")).withColumn("turn", F.col("turn") % HUBS)
+
+
+def hub_pairs(points: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each point's members with its hub, the first of them in the point's order: linear work."""
+    order = F.struct(F.xxhash64("node", "turn"), "node")
+    hubs = points.groupBy("band").agg(F.min(order).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", F.col("hub.node").alias("hub"))
+    met = points.join(hubs, "band").where("node <> hub")
+    return met.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
+def open_points(points: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, node, root) of the points whose members aren't all connected by ``roots`` yet."""
+    rooted = points.select("node", "band").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    return rooted.join(mixed, "band")
+
+
+def _link_points(words: int, similarity: float):
+    """Rows (band, node, root, text) sorted by band in; links between near members of one point out."""
+
+    def links_of(rows: list) -> pa.RecordBatch:
+        node = np.array([n for n, _, _ in rows], np.int64)
+        pairs = set_links([s for _, _, s in rows], np.array([r for _, r, _ in rows], np.int64), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["u", "v"])
 
     def run(batches):
-        held_w, held_p = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
+        band, rows = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            w = np.stack([batch.column("w0").to_numpy(), batch.column("w1").to_numpy()], axis=1)
-            point = _segment_points(w, batch.column("flip").to_numpy().astype(np.int64))
-            w, point = np.concatenate([held_w, w]), np.concatenate([held_p, point])
-            cut = int(np.flatnonzero(point != point[-1])[-1]) + 1 if (point != point[-1]).any() else 0  # the last point may go on
-            if cut:
-                yield links_of(w[:cut], point[:cut])
-            held_w, held_p = w[cut:], point[cut:]
-        if len(held_p):
-            yield links_of(held_w, held_p)
+            for at, node, root, text in zip(*(batch.column(k).to_pylist() for k in ("band", "node", "root")), batch.column("text").cast(pa.binary())):
+                if at != band and rows:
+                    yield links_of(rows)
+                    rows = []
+                band = at
+                rows.append((node, root, shingle_set(text.as_py(), words)))
+        if rows:
+            yield links_of(rows)
 
     return run
 
 
-def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a0, a1, b0, b1) between different wide fingerprints (w0, w1).
+def open_links(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect all near members of each of the open points ``members``; no pairs leave the tasks."""
+    spark = members.sparkSession
+    dealt = members.join(texts, "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band").sortWithinPartitions("band", "node")
+    return dealt.mapInArrow(trimmed(_link_points(words, similarity)), "u long, v long")
 
-    Each of four 32-bit segments is a table.  A fingerprint puts its segment's ball of radius 1
-    into it, so two of them share a point of a table if they differ in at most 2 of its bits; any two
-    within 11 of 128 bits surely do for some table, others the oftener the nearer they are.
-    What shares a point is compared in all bits and linked at a similarity of ``similarity`` and more
-    by the fingerprints' estimate.  Within a point as many links are made as connect its rows.
-    """
-    spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flips = nodes.select("w0", "w1", F.explode(F.sequence(F.lit(0), F.lit(4 * (SEGMENT_BITS + 1) - 1))).alias("flip"))
-    dealt = flips.repartition(parts, _point(F.col("flip"))).sortWithinPartitions(_point(F.col("flip")))
-    return dealt.mapInArrow(trimmed(_match_points(most_bits(similarity, 128))), "a0 long, a1 long, b0 long, b1 long")
+
+def near_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose texts (node, text) are near by their shingle sets."""
+    v = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
+    u = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
+    return pairs.join(v, "v").join(u, "u").where(near_udf(words, similarity)("text_u", "text_v")).select("u", "v")
 
 
 _FIRST_ID = -(1 << 63)
@@ -240,24 +308,41 @@ _FIRST_ID = -(1 << 63)
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``df`` with one row of each group of near duplicates: the one of the smallest id.
 
-    Texts are near if their ``words``-word shingles' wide fingerprints are (see wide_links); groups are the connected
-    components.  Equal fingerprints collapse first.  Texts without a word are one group.  Null
+    Texts are near if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity``
+    or more; groups are the connected components.  Equal sets collapse first.  The bands of smallest hashes find
+    the pairs, the texts themselves decide each link.  Each point's members are held against its hub; where they are not
+    all connected then, against each other.  Texts without a word are one group.  Null
     text counts as empty; a null id is smaller than any other.  Of rows of one id the smaller
     checksum of the text decides, of equal rows one stays.  Columns of ``df`` stay as they are.
     """
     short_batches(df.sparkSession)
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     keyed = df.withColumn("__id", F.coalesce(df[id_col].cast("long"), F.lit(_FIRST_ID))).withColumn("__crc", F.crc32(text.cast("binary")))
-    rows = written(keyed.select("__id", "__crc", wide_udf(words)(text).alias("w")).select("__id", "__crc", "w.w0", "w.w1"))
-    nodes = rows.groupBy("w0", "w1").agg(F.min(F.struct("__id", "__crc")).alias("low")).withColumn("node", F.xxhash64("w0", "w1"))
-    found = wide_links(nodes.select("w0", "w1"), similarity)
-    roots = components(found.select(F.xxhash64("a0", "a1").alias("u"), F.xxhash64("b0", "b1").alias("v")))
-    named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("low").alias("low"))
+    rows = written(keyed.select("__id", "__crc", set_udf(words)(text).alias("s")).select("__id", "__crc", "s.node", "s.bands"))
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct("__id", "__crc")).alias("low"), F.first("bands").alias("bands")))
+    points = points_of(nodes)
+
+    first = written(hub_pairs(points))
+    found = written(near_pairs(first, _texts(keyed, text, nodes, first.select(F.explode(F.array("u", "v")).alias("node"))), words, similarity))
+    rest = written(open_points(points, components(found)))
+    found = found.unionByName(written(open_links(rest, _texts(keyed, text, nodes, rest.select("node")), words, similarity)))
+
+    roots = components(found).withColumnRenamed("node", "__n")
+    named = nodes.join(roots, F.col("node") == F.col("__n"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("low").alias("low"))
     keep = named.select(F.col("low.__id").alias("__kid"), F.col("low.__crc").alias("__kcrc"))
     kept = keyed.join(keep, (F.col("__id") == F.col("__kid")) & (F.col("__crc") == F.col("__kcrc")), "left_semi")
     return kept.dropDuplicates(["__id", "__crc"]).select(*df.columns)
 
 
+def _texts(keyed: DataFrame, text: Column, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, text) of the nodes asked for, each once, from the row that names the node."""
+    ends = asked.select(F.col("node").alias("__n")).distinct()
+    named = nodes.join(ends, F.col("node") == F.col("__n")).select("node", F.col("low.__id").alias("__kid"), F.col("low.__crc").alias("__kcrc"))
+    own = keyed.select("__id", "__crc", text.alias("__text"))
+    met = own.join(named, (F.col("__id") == F.col("__kid")) & (F.col("__crc") == F.col("__kcrc"))).select("node", F.col("__text").alias("text"))
+    return written(met.dropDuplicates(["node"]))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
