@@ -30,7 +30,7 @@ h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(failed AS INT)
 m AS (SELECT greatest(least(sum(k) / sum(n), 1 - 1e-6), 1e-6) AS mean, sum(n) AS n, count(*) AS hosts, sum(n) - sum(n * n) / sum(n) AS weight FROM h),
 v AS (SELECT mean, CASE WHEN weight > 0 THEN (sum(h.n * pow(h.k / h.n - mean, 2)) - mean * (1 - mean) * hosts * (1 - 1 / greatest(m.n, 1))) / weight ELSE 0 END AS between_ FROM h, m GROUP BY mean, hosts, m.n, weight),
 b AS (SELECT mean, least(greatest(CASE WHEN between_ > 0 THEN mean * (1 - mean) / between_ - 1 ELSE {rules.MOST_WEIGHT} END, {rules.LEAST_WEIGHT}), {rules.MOST_WEIGHT}) AS total FROM v)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (h.k + mean * total) / (h.n + total) <= {rules.HOST_RATE} AS kept
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (h.k + mean * total) / (h.n + total) <= least(mean + greatest({rules.HOST_DEVIATIONS} * sqrt(mean * (1 - mean) / (total + 1)), {rules.HOST_STEP} * (1 - mean)), {rules.HOST_MOST}) AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, b
 """
 
