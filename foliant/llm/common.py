@@ -46,9 +46,41 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends there,
     every later reader sees the same rows, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/foliant-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/foliant-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths.append(path)
+    if len(_paths) == 1:
+        atexit.register(lambda: release(spark))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables written by this driver and not released yet.
+_paths: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``written`` made, all of them or those after the first ``since``.
+
+    A result reads them when it is computed, so release them after its last use.  What is left goes when
+    the driver ends; after a driver that was killed, the folder foliant-<application id> may be deleted by hand.
+    """
+    gone = _paths[since:]
+    del _paths[since:]
+    with contextlib.suppress(Exception):  # a stopped session deletes nothing
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for p in map(jvm.org.apache.hadoop.fs.Path, gone):
+            p.getFileSystem(conf).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are released at the end: the block must have used up all that reads them."""
+    since = len(_paths)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -66,6 +98,15 @@ def crc_mod(id_col: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added while ``df`` has a column of that name (case aside, as Spark has it):
+    an operator never writes over a caller's column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -109,6 +150,10 @@ class WordMemo:
         self.young: dict = {}
         self.old: dict = {}
 
+    def get(self, word: bytes | str) -> bytes | None:
+        got = self.young.get(word)
+        return self.old.get(word) if got is None else got
+
     def __call__(self, texts: list[list]) -> list[bytes]:
         young, old, new = self.young, self.old, []
         for w in set().union(*texts).difference(young):

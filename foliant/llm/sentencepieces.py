@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WordMemo, short_batches, table
+from foliant.llm.common import WordMemo, free_name, short_batches, table
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -100,19 +100,20 @@ class Pieces:
         return known
 
     def reach(self, text: str) -> list[int]:
-        """Ids of a text of known characters under BPE: the pass of ``viterbi`` where one path at most remains at
-        each position, so that the first piece admitted there is the best and scores needn't be summed."""
-        last: list[int | None] = [None] * (len(text) + 1)
-        last[0] = -1
-        pairs, pair = self.pairs, self._pair
+        """Ids of a text of known characters under BPE: the pass of ``viterbi`` without its unknown characters.  A piece relaxes
+        its end's best score if it makes the sum higher and may follow the best path to its start."""
+        worst = float("-inf")
+        best, last = [worst] * (len(text) + 1), [-1] * (len(text) + 1)
+        best[0] = 0.0
+        score, pairs, pair = self.score, self.pairs, self._pair
         for end, (size, i) in self.automaton.iter(text):
             end += 1
-            if last[end] is None:
+            total = best[end - size] + score[i]
+            if total > best[end]:
                 before = last[end - size]
-                if before is not None:
-                    ok = pairs.get((before, i))
-                    if ok or ok is None and pair(before, i):
-                        last[end] = i
+                ok = pairs.get((before, i))
+                if ok or ok is None and pair(before, i):
+                    best[end], last[end] = total, i
         out, at = [], len(text)
         while at:
             i = last[at]
@@ -204,7 +205,8 @@ def _texts(col: pa.Array) -> list[str]:
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", name: str = "ids") -> DataFrame:
-    """``df`` with the ids of each whole text.  Null and empty texts have none; other columns stay."""
+    """``df`` with the ids of each whole text.  Null and empty texts have none; other columns stay,
+    and where one has the name given, the new one gets an underscore more."""
     short_batches(df.sparkSession)
 
     @F.arrow_udf("array<int>")
@@ -213,11 +215,12 @@ def encode(df: DataFrame, path: str, text_col: str = "text", name: str = "ids")
         sizes = np.array([0, *(len(g) // 4 for g in got)], np.int32)
         return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.frombuffer(b"".join(got), "<i4")))
 
-    return df.withColumn(name, udf(df[text_col].cast("string")))
+    return df.withColumn(free_name(df, name), udf(df[text_col].cast("string")))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """``df`` with the text of each row's ids; null for null ids, a replacement character for bytes that make none."""
+    """``df`` with the text of each row's ids; null for null ids, a replacement character for bytes that make none.
+    Other columns stay; where one has the name given, the new one gets an underscore more."""
     short_batches(df.sparkSession)
 
     @F.arrow_udf("string")
@@ -225,13 +228,13 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded"
         p = pieces(path)
         return pa.array([None if i is None else p.decode(i) for i in ids.to_pylist()], pa.string())
 
-    return df.withColumn(name, udf(df[ids_col]))
+    return df.withColumn(free_name(df, name), udf(df[ids_col]))
 
 
 def digest(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``df`` with n_ids, ids_crc32 (of little-endian unsigned 32-bit ids) and round_trip: whether decoding gives the text back.
 
-    The blank sign U+2581 itself reads as a blank, as the format has it, so round_trip compares with those replaced.
+    The blank sign U+2581 itself reads as a blank, as the format has it, so round_trip compares with those replaced.  Other columns stay; where one has such a name, the new one gets an underscore more.
     """
     short_batches(df.sparkSession)
 
@@ -248,7 +251,7 @@ def digest(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["n_ids", "ids_crc32", "round_trip"])
 
     out = df.withColumn("__d", udf(df[text_col].cast("string")))
-    return out.select(*df.columns, "__d.n_ids", "__d.ids_crc32", "__d.round_trip")
+    return out.select(*df.columns, *(F.col(f"__d.{c}").alias(free_name(df, c)) for c in ("n_ids", "ids_crc32", "round_trip")))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

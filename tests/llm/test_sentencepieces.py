@@ -49,6 +49,9 @@ def test_every_case(docs, none):
     for r in decode(encode(docs, PATH, name="tokens"), PATH, "tokens").collect():
         assert r.tokens == THEIRS.encode(r.text or "") and r.decoded == (r.text or "")
     assert digest(docs, PATH).where("round_trip").count() == docs.count()
+    mine = encode(docs.withColumn("n_ids", docs.score), PATH)
+    assert {r.ids for r in mine.collect()} == {"i"} and all(r.ids_ == THEIRS.encode(r.text or "") for r in mine.collect())
+    assert {(r.n_ids, r.round_trip) for r in digest(docs.withColumn("n_ids", docs.score), PATH).collect()} == {(1, True)}
     assert encode(none, PATH).count() == digest(none, PATH).count() == 0
 
 
