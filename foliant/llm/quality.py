@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import crc_mod, short_batches, table, written
+from foliant.llm.common import crc_mod, free_name, short_batches, table, written
 
 #: The trees are fitted on at most so many labelled rows, in the order of a hash of the id.
 MAX_ROWS = 20_000
@@ -135,20 +135,25 @@ def _statistics_udf():
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Trees:
-    """Fit on labelled rows outside the held-out fold.  Null labels and ids teach nothing; several labels of a row count as their maximum."""
+    """Fit on labelled rows outside the held-out fold, at most ``max_rows`` ids in the order of a hash.
+
+    Null labels and ids teach nothing; several labels of an id count as their maximum.  Of several rows of an id the one
+    of the smallest statistics teaches.  Texts stay where they are: statistics alone are shuffled and collected.
+    """
     short_batches(docs.sparkSession)
     learn = crc_mod(id_col, FOLDS) != HELD_OUT
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learn).groupBy(id_col).agg(F.max(label_col).cast("double").alias("mark_"))
     sample = written(docs.select(id_col).distinct().join(marks, id_col).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_rows))
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_")).join(F.broadcast(sample), id_col)  # at most max_rows ids
-    rows = rows.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(2 * max_rows)
-    got = rows.select(id_col, "mark_", _statistics_udf()("text_").alias("x")).toArrow().sort_by(id_col)
+    rows = rows.select(id_col, "mark_", _statistics_udf()("text_").alias("x")).groupBy(id_col, "mark_").agg(F.min("x").alias("x"))
+    got = rows.toArrow().sort_by(id_col)
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS)) if got.num_rows else np.zeros((0, len(STATISTICS)))
     return fit_trees(x, got.column("mark_").to_numpy())
 
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with one more column: the whole text's score, 0 to 1.  Null text scores as empty text."""
+    """``docs`` with one more column: the whole text's score, 0 to 1.  Null text scores as empty text.
+    Where ``docs`` has a column of that name, it stays, and the score's gets an underscore more."""
     short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # trees of fixed number and depth
 
@@ -156,7 +161,7 @@ def score(docs: DataFrame, model: Trees, text_col: str = "text", name: str = "sc
     def udf(text: pa.Array) -> pa.Array:
         return pa.array(sent.value.score(_statistics_of(text)), pa.float64())
 
-    return docs.withColumn(name, udf(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    return docs.withColumn(free_name(docs, name), udf(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

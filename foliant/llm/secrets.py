@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table
+from foliant.llm.common import free_name, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # runs are whole either way, so the least length may stand in the pattern
@@ -77,8 +77,9 @@ def find_secrets(df: DataFrame, text_col: str = "text", allowed: tuple[str, ...]
     or hold an allowed word are suppressed; base spans always stay.
 
     Null and empty texts have no spans.  Only the text is looked at; rows with any nulls,
-    repeated rows and further columns stay as they are.
+    repeated rows and further columns stay as they are; where one has a name given, the new one gets an underscore more.
     """
+    base, name = free_name(df, base), free_name(df, name)
     t = df.withColumn("__t", F.coalesce(df[text_col].cast("string"), F.lit("")))
     empty = "cast(array() AS array<struct<start:int,kind:int,end:int,s:string>>)"
     t = t.withColumn("__assign", F.expr(f"""if(__t RLIKE '(?i)passw|secret|token|api_?key', {_spans('__t', ASSIGN, 0, 2, ASSIGN_LEAST)}, {empty})"""))

@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import crc_mod, short_batches, table, written
+from foliant.llm.common import crc_mod, free_name, short_batches, table, written
 
 BUCKETS = 1 << 18
 #: The classifier is fitted on at most so many confirmed toxic rows and so many others, taken
@@ -152,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``prior`` is the share of toxic rows among all text; by default the share of confirmed
     ones among labelled rows outside the held-out fold.  A row that several labels
-    name is confirmed if one of them is 1; null labels and null ids confirm nothing.
+    name is confirmed if one of them is 1; null labels and null ids confirm nothing.  Of several rows of an id
+    the one of the smallest hashed words is taken.  Texts stay where they are: hashed words alone are shuffled and collected.
     """
     short_batches(docs.sparkSession)
     learn = crc_mod(id_col, FOLDS) != HELD_OUT
@@ -167,9 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = written(ids.where(is_toxic).orderBy(mixed, id_col).limit(max_positive).select(id_col, F.lit(True).alias("toxic_")).unionByName(ids.orderBy(mixed, id_col).limit(max_unlabelled).select(id_col, F.lit(False).alias("toxic_"))))
     # At most max_positive + max_unlabelled ids: a bounded broadcast.
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_")).join(F.broadcast(sample), id_col)
-    rows = rows.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(2 * (max_positive + max_unlabelled)).select(id_col, "toxic_", "text_")
     # Buckets come as bytes in Arrow batches: about a kilobyte a row, never a Python object a number.
-    got = rows.select(id_col, "toxic_", _hash_udf()("text_").alias("buckets")).toArrow()
+    got = rows.select(id_col, "toxic_", _hash_udf()("text_").alias("buckets")).groupBy(id_col, "toxic_").agg(F.min("buckets").alias("buckets")).toArrow()
     got = got.take(pa.compute.sort_indices(got, sort_keys=[(id_col, "ascending"), ("toxic_", "ascending"), ("buckets", "ascending")]))
     arrays = [np.frombuffer(b.as_buffer(), "<i4") for b in got.column("buckets")]
     toxic = got.column("toxic_").to_pylist()
@@ -177,9 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with one more column: the whole text's score, 0 to 1.  Null text scores as empty text."""
+    """``docs`` with one more column: the whole text's score, 0 to 1.  Null text scores as empty text.
+    Where ``docs`` has a column of that name, it stays, and the score's gets an underscore more."""
     short_batches(docs.sparkSession)
-    return docs.withColumn(name, _score_udf(docs.sparkSession, model)(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    return docs.withColumn(free_name(docs, name), _score_udf(docs.sparkSession, model)(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
