@@ -56,35 +56,73 @@ def fingerprint_udf(words: int):
     return udf
 
 
-def ball(fingerprint: Column) -> Column:
-    """The points within distance 1 in one segment (of two of 32 bits), the other segment whole.
+#: A fingerprint is cut into so many segments; two within RADIUS bits differ by one bit at most in some segment.
+SEGMENTS = 2
+SEGMENT_BITS = 64 // SEGMENTS
+#: Fingerprints of one segment value; values that more share are searched by complete points instead.
+BUCKET = 64
 
-    A point is the complete 64-bit key, so at most 65 different fingerprints share one: no
-    bucket can become hot, whatever the documents are.
-    """
-    near = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fingerprint.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    return F.concat(F.array(fingerprint), near)
+
+def segments(fp: Column) -> list[Column]:
+    """The segments' values, each with its segment's number above it."""
+    mask = F.lit((1 << SEGMENT_BITS) - 1)
+    return [F.shiftrightunsigned(fp, SEGMENT_BITS * k).bitwiseAND(mask) + F.lit(k << SEGMENT_BITS) for k in range(SEGMENTS)]
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def segment_balls(fp: Column, radius: int) -> Column:
+    """What a fingerprint looks up in the segments' tables: each segment, and for radius 1 also each with one bit set that
+    wasn't.  Of two segments one bit apart, the one without the bit finds the other, so each pair is found from one side."""
+    def around(v: Column) -> Column:
+        clear = F.filter(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)), lambda i: v.bitwiseAND(_bit(i)) == 0)
+        return F.transform(clear, lambda i: v.bitwiseOR(_bit(i)))
+
+    own = F.array(*segments(fp))
+    return F.concat(own, *map(around, segments(fp))) if radius else own
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints linked at ``radius`` 1 or 2 bits.
 
-    ``nodes`` has one row (node, fp) a different fingerprint.  Two of them are within 2 bits
-    if and only if their balls of radius 1 meet, so each point's members are linked to
-    the smallest of them: linear work, no pairs.  Every match's complete distance is verified.
+    ``nodes`` has one row (node, fp) a different fingerprint.  A table for each segment maps its values to fingerprints.
+    Two fingerprints within ``radius`` bits differ by at most ``radius // SEGMENTS`` in some segment, so
+    balls of that radius around the segments' values find them; every match's complete distance is verified.
+    A value that more than ``bucket`` fingerprints share leaves the tables, and
+    the fingerprints that look it up meet at complete points (``point_links``): no bucket's pairs are made.
     """
     if radius not in (1, 2):
-        raise ValueError("balls of radius 1 link fingerprints at 1 or 2 bits")
+        raise ValueError("fingerprints are linked at 1 or 2 bits")
+    listed = nodes.select("node", "fp", F.explode(F.array(*segments(F.col("fp")))).alias("key"))
+    hot = written(listed.groupBy("key").count().where(F.col("count") > bucket).select("key"))
+    asked = nodes.select("node", "fp", F.explode(segment_balls(F.col("fp"), radius // SEGMENTS)).alias("key"))
+    some_hot = not hot.isEmpty()
+    tables = listed.join(hot, "key", "left_anti") if some_hot else listed
+    met = asked.join(tables.select(F.col("node").alias("v"), F.col("fp").alias("fp2"), "key"), "key")
+    found = met.where((F.col("fp") != F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)).select(F.col("node").alias("u"), "v")
+    if not some_hot:
+        return found
+    crowded = asked.join(hot, "key", "left_semi").select("node", "fp").distinct()
+    return found.unionByName(point_links(crowded, radius))
+
+
+def ball(fingerprint: Column) -> Column:
+    """The complete points within distance 1; at most 65 different fingerprints share one."""
+    return F.concat(F.array(fingerprint), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fingerprint.bitwiseXOR(_bit(i))))
+
+
+def point_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``links`` without segments: two fingerprints are within 2 bits if and only if their balls of radius 1 meet, so
+    each point's members are linked to the smallest of them: linear work, no pairs, whatever the documents are."""
     points = nodes.select("node", "fp", F.explode(ball(F.col("fp"))).alias("point"))
     if radius == 1:  # each meets the other itself, not a point between them
         points = points.withColumn("own", F.col("point") == F.col("fp"))
-        table_ = points.where("own").select(F.col("node").alias("v"), F.col("fp").alias("fp2"), "point")
-        met = points.where(~F.col("own")).join(table_, "point").select(F.col("node").alias("u"), "v", "fp", "fp2")
-    else:
-        first = F.min(F.struct("node", "fp")).over(Window.partitionBy("point"))
-        met = points.withColumn("first", first).select(F.col("node").alias("u"), F.col("first.node").alias("v"), "fp", F.col("first.fp").alias("fp2"))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    return met.where((F.col("u") != F.col("v")) & (far <= radius)).select("u", "v")
+        met = points.where(~F.col("own")).join(points.where("own").select(F.col("node").alias("v"), "point"), "point")
+        return met.select(F.col("node").alias("u"), "v")
+    first = F.min("node").over(Window.partitionBy("point"))
+    return points.withColumn("v", first).select(F.col("node").alias("u"), "v").where("u <> v")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -99,7 +137,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     short_batches(df.sparkSession)
     rows = written(id_text(df, id_col, text_col).select("id", fingerprint_udf(words)("text").alias("fp")))
     # Nodes are fingerprints themselves; ids of any type stay out of the graph.
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("low")))
     roots = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -210,17 +248,11 @@ def spanning(root: np.ndarray, near, block: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def spanning_links(w: np.ndarray, most: int, block: int = 1024) -> np.ndarray:
-    """Pairs of rows, of all within ``most`` bits of each other as many as connect them; blocks of rows at a time."""
-    w = w.view(np.uint64)
-    near = lambda i, j: sum(np.bitwise_count(w[i : i + block, None, k] ^ w[None, j : j + block, k]).astype(np.int16) for k in range(w.shape[1])) <= most
-    return spanning(np.arange(len(w)), near, block)
-
-
-def set_links(sets: list[np.ndarray], roots: np.ndarray, similarity: float, cells: int = 1 << 22) -> np.ndarray:
+def set_links(sets: list[np.ndarray], roots: np.ndarray, similarity: float, cells: int = 1 << 22, split: int = 0) -> np.ndarray:
     """Pairs of sets whose Jaccard similarity is ``similarity`` or more, as many as connect those of different ``roots``.
 
     All pairs are judged, by products of 0/1 matrices of at most ``cells`` entries; members of one set only have no column.
+    With ``split``, only pairs of one of the first ``split`` sets and a later one.
     """
     size = np.array([len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -238,8 +270,13 @@ def set_links(sets: list[np.ndarray], roots: np.ndarray, similarity: float, cell
         return out
 
     def near(i: int, j: int) -> np.ndarray:
+        if split and (i + block <= split or j >= split):  # both on one side
+            return np.zeros((0, 0), bool)
         both = (dense(i) @ dense(j).T).astype(np.float64)
-        return both / np.maximum(1, size[i : i + block, None] + size[None, j : j + block] - both) >= similarity
+        hit = both / np.maximum(1, size[i : i + block, None] + size[None, j : j + block] - both) >= similarity
+        if split:
+            hit &= (np.arange(i, i + len(hit)) >= split)[:, None] & (np.arange(j, j + hit.shape[1]) < split)[None, :]
+        return hit
 
     _, first, back = np.unique(roots, return_index=True, return_inverse=True)
     return spanning(first[back], near, block)
@@ -258,32 +295,49 @@ def hub_pairs(points: DataFrame) -> DataFrame:
     return met.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
-def open_points(points: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, node, root) of the points whose members aren't all connected by ``roots`` yet."""
+#: Members of one point that a task compares among themselves; a point with more is dealt to tiles, and each pair of
+#: tiles is a piece of work of its own.
+TILE = 1024
+
+
+def open_points(points: DataFrame, roots: DataFrame, tile: int = TILE) -> DataFrame:
+    """(band, node, root, low, high, own) of the points whose members may still hold links between components.
+
+    A point of two members was settled with its hub.  Points of the same members are one.  Members of a point
+    with k tiles come k times, for the pairs (low, high) of tiles that theirs, ``own``, is in.
+    """
     rooted = points.select("node", "band").join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    return rooted.join(mixed, "band")
+    same = [F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2")]
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *same).where("low < high and n > 2")
+    mixed = mixed.groupBy("n", "low", "high", "h1", "h2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    dealt = rooted.join(mixed, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = dealt.select("band", "node", "root", "own", other.alias("other"))
+    return dealt.select("band", "node", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
 
 
 def _link_points(words: int, similarity: float):
-    """Rows (band, node, root, text) sorted by band in; links between near members of one point out."""
-
-    def links_of(rows: list) -> pa.RecordBatch:
-        node = np.array([n for n, _, _ in rows], np.int64)
-        pairs = set_links([s for _, _, s in rows], np.array([r for _, r, _ in rows], np.int64), similarity)
+    """Rows (band, low, high, own, node, root, text) sorted by these in; links between near members of two tiles, or of one, out."""
+
+    def links_of(at: tuple, rows: list) -> pa.RecordBatch:
+        _, low, high = at
+        node = np.array([r[1] for r in rows], np.int64)
+        split = sum(r[0] == low for r in rows) if low < high else 0
+        none = low < high and split in (0, len(rows))
+        pairs = np.zeros((0, 2), np.int64) if none else set_links([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), similarity, split=split)
         return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["u", "v"])
 
     def run(batches):
-        band, rows = None, []
+        now, rows = None, []
         for batch in batches:
-            for at, node, root, text in zip(*(batch.column(k).to_pylist() for k in ("band", "node", "root")), batch.column("text").cast(pa.binary())):
-                if at != band and rows:
-                    yield links_of(rows)
+            for band, low, high, own, node, root, text in zip(*(batch.column(k).to_pylist() for k in ("band", "low", "high", "own", "node", "root")), batch.column("text").cast(pa.binary())):
+                if (band, low, high) != now and rows:
+                    yield links_of(now, rows)
                     rows = []
-                band = at
-                rows.append((node, root, shingle_set(text.as_py(), words)))
+                now = (band, low, high)
+                rows.append((own, node, root, shingle_set(text.as_py(), words)))
         if rows:
-            yield links_of(rows)
+            yield links_of(now, rows)
 
     return run
 
@@ -291,7 +345,7 @@ def _link_points(words: int, similarity: float):
 def open_links(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (u, v) that connect all near members of each of the open points ``members``; no pairs leave the tasks."""
     spark = members.sparkSession
-    dealt = members.join(texts, "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band").sortWithinPartitions("band", "node")
+    dealt = members.join(texts, "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band", "low", "high").sortWithinPartitions("band", "low", "high", "own", "node")
     return dealt.mapInArrow(trimmed(_link_points(words, similarity)), "u long, v long")
 
 
@@ -305,7 +359,7 @@ def near_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
 _FIRST_ID = -(1 << 63)
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """``df`` with one row of each group of near duplicates: the one of the smallest id.
 
     Texts are near if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity``
@@ -324,7 +378,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     first = written(hub_pairs(points))
     found = written(near_pairs(first, _texts(keyed, text, nodes, first.select(F.explode(F.array("u", "v")).alias("node"))), words, similarity))
-    rest = written(open_points(points, components(found)))
+    rest = written(open_points(points, components(found), tile))
     found = found.unionByName(written(open_links(rest, _texts(keyed, text, nodes, rest.select("node")), words, similarity)))
 
     roots = components(found).withColumnRenamed("node", "__n")

@@ -23,9 +23,9 @@ def plain_roots(texts, least=0.8):
     return root
 
 
-def kept(spark, texts):
+def kept(spark, texts, **options):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    return sorted(x.doc_id for x in simhash.keep_one(df).collect())
+    return sorted(x.doc_id for x in simhash.keep_one(df, **options).collect())
 
 
 def edited(r, w, n):
@@ -75,7 +75,9 @@ def test_groups_against_brute_force(spark):
     r.shuffle(texts)
     root = [k if not t.strip() else x for k, (t, x) in enumerate(zip(texts, plain_roots([t.lower() for t in texts])))]
     blank = [k for k, t in enumerate(texts) if not t.strip()]
-    assert kept(spark, texts) == sorted({x for k, x in enumerate(root) if k not in blank} | {blank[0]})
+    want = sorted({x for k, x in enumerate(root) if k not in blank} | {blank[0]})
+    assert kept(spark, texts) == want
+    assert kept(spark, texts, tile=8) == want  # large points in pairs of tiles
 
 
 def test_links_of_sets_in_small_blocks():

@@ -110,7 +110,9 @@ def test_spanning_links_connect_all():
     r = np.random.default_rng(2)
     w = r.integers(-(2**62), 2**62, (40, 2))
     w = np.concatenate([w ^ (np.int64(1) << r.integers(0, 62, (40, 2))) for _ in range(60)])
-    pairs = simhash.spanning_links(w, 3, block=128)
+    bits = w.view(np.uint64)
+    near = lambda i, j: sum(np.bitwise_count(bits[i : i + 128, None, k] ^ bits[None, j : j + 128, k]).astype(int) for k in range(2)) <= 3
+    pairs = simhash.spanning(np.arange(len(w)), near, 128)
     far = sum(np.bitwise_count((w[:, None, k] ^ w[None, :, k]).view(np.uint64)).astype(int) for k in range(2))
 
     def groups(pairs):

@@ -57,8 +57,8 @@ def test_query_against_brute_force(spark):
     assert {tuple(r) for r in op3_simhash_near_dedup(spark, SMALL).collect()} == want
 
 
-@pytest.mark.parametrize("radius", [1, 2])
-def test_links_connect_what_brute_force_connects(spark, radius):
+@pytest.mark.parametrize("radius,bucket", [(1, 64), (2, 64), (1, 2), (2, 2), (2, 0)])
+def test_links_connect_what_brute_force_connects(spark, radius, bucket):
     r = random.Random(3)
     fps = [r.getrandbits(64) for _ in range(30)]
     for f in fps[:25]:
@@ -69,10 +69,20 @@ def test_links_connect_what_brute_force_connects(spark, radius):
     fps = sorted(set(fps))
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     nodes = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(fps)], "node long, fp long")
-    roots = {r.node: r.root for r in components(links(nodes, radius)).collect()}
+    roots = {r.node: r.root for r in components(links(nodes, radius, bucket)).collect()}
     assert [roots.get(i, i) for i in range(len(fps))] == plain_components(list(enumerate(fps)), radius)
 
 
+def test_segments_find_and_distances_reject(spark):
+    """Fingerprints that agree in a whole segment meet in its table, and only the complete distance tells them apart."""
+    r = random.Random(8)
+    low = [r.getrandbits(32) for _ in range(40)]
+    fps = sorted({(h << 32) | x for x in low for h in (r.getrandbits(32), r.getrandbits(32))} | {(5 << 32) | low[0], (5 << 32) | low[0] ^ 3, (4 << 32) | low[0] ^ 1})
+    nodes = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "node long, fp long")
+    got = {frozenset(x) for x in links(nodes).select("u", "v").collect()}
+    assert got == {frozenset((i, j)) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2} and got
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(5, 5), (1000, 999)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
