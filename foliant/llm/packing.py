@@ -18,8 +18,13 @@ END_ID = 1
 #: A bin with at most this many free places is emitted; others go up the tree as items.
 SLACK = 4
 FAN_IN = 8
+#: What one task above the first level takes, in bins and in members of bins.
+TASK_BINS, TASK_MEMBERS = 16_384, 1 << 20
 #: Words whose ids a Python worker keeps, at about 200 bytes each.  Bounds memory only.
 CACHE_WORDS = 600_000
+#: Stands between words on their way through the tokenizer; words that have it go alone.
+MARK = "½"
+_TAIL = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 
 _MEMBER = pa.struct([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BINS = "length int, sequence_id long, closed boolean, members array<struct<id:long,piece:int,start:long,length:long,ids_crc32:long>>"
@@ -31,28 +36,61 @@ class WordEncoder:
     For a tokenizer that drops white space, lower-cases and never joins characters across
     white space, the ids of a text are those of its blank-separated words in turn, so each
     different word is encoded once.  New words go through the tokenizer many at a time, as one
-    text; its offsets tell which ids are whose.
+    text with MARK between them: a numeral is a token of its own, so its id parts the words'.
+    Special strings in a text are special tokens, as in the tokenizer's plain call.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        (self.mark,) = self._ids(MARK)
         self.memo = WordMemo(self._encode, CACHE_WORDS)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        return self.memo([t.lower().split() for t in texts])  # bytes: only A-Z change, the tokenizer does the rest
+        # bytes: only A-Z change, the tokenizer does the rest.  Special strings are told by their case.
+        return self.memo([(t if b"<|" in t else t.lower()).split() for t in texts])
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        texts = [w.decode() for w in words]
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-        encoded = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4").tobytes()
-        at = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids))
-        whose = np.searchsorted(starts, at, side="right") - 1
-        ends = (4 * np.searchsorted(whose, np.arange(len(words)), side="right")).tolist()
-        return {w: ids[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+        """Ids of new words.  Punctuation that ends a word is tokens of its own, so what stands before it is encoded once."""
+        memo, whole, ended = self.memo, [], []
+        for w in words:
+            stem = w.rstrip(_TAIL)
+            if len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:  # an ASCII letter or digit
+                ended.append((w, stem, w[len(stem) :]))
+            else:
+                whole.append(w)
+        parts = {p for _, stem, tail in ended for p in (stem, tail)}.difference(whole)
+        seen = {p: got for p in parts if (got := memo.get(p)) is not None}
+        seen.update(self._encode_whole([*whole, *parts.difference(seen)]))
+        for w, stem, tail in ended:
+            seen[w] = seen[stem] + seen[tail]
+        return seen
+
+    def _encode_whole(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = b"\n".join(words).decode().split("\n") if words else []
+        alone = {w: np.array(self._ids(t), "<u4").tobytes() for w, t in zip(words, texts) if MARK in t}
+        if alone:
+            words, texts = [w for w in words if w not in alone], [t for t in texts if MARK not in t]
+        ids = np.array(self._ids(MARK.join(texts)), "<u4")
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != max(0, len(words) - 1):
+            raise ValueError(f"{MARK} is no token of its own in this tokenizer")
+        data, at = ids.tobytes(), (4 * marks).tolist()
+        return alone | {w: data[a:b] for w, a, b in zip(words, [0, *(x + 4 for x in at)], [*at, len(data)])}
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of a path, made once in a Python worker: its words serve later tasks too."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -110,7 +148,7 @@ def _first_id(level: int) -> int:
 
 def _tokenise_and_pack(path: str, capacity: int, slack: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         ids, no, start, length, crc = [], [], [], [], []
         for batch in pieces(batches):
             for doc, ids_ in zip(batch.column("id").to_pylist(), encode(batch.column("text").cast(pa.binary()).to_pylist())):
@@ -147,14 +185,15 @@ def _in_batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, 2000)
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK, task_bins: int = TASK_BINS) -> DataFrame:
     """A row a piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Each partition tokenises its documents and packs its pieces by best fit, longest first.
     Bins with at most ``slack`` free places are done; the others, with all they hold, become
-    the items of the next level, ``FAN_IN`` partitions to one, up to a single partition that
-    gets the few bins still open.  Every level is written before the next reads it, and items
-    are sorted, so a task that runs again packs alike.
+    the items of the next level, ``FAN_IN`` partitions to one, but no task gets more than
+    TASK_BINS bins and TASK_MEMBERS members on average.  The tree ends in a single partition, or where the open bins
+    are so many that partitions can't get fewer: pieces of over half a sequence, say, of which no two go together.
+    Every level is written before the next reads it, and items are sorted, so a task that runs again packs alike.
 
     Null and empty texts make one piece of the end id alone.  Repeated rows are packed each.
     No rows in, no rows out.
@@ -163,16 +202,17 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     rows = id_text(df, id_col, text_col)
     level, parts = 0, max(1, rows.rdd.getNumPartitions())
     now = written(rows.withColumn("id", F.col("id").cast("long")).mapInArrow(trimmed(_tokenise_and_pack(tokenizer, capacity, slack, end_id)), _BINS))
-    done = []
+    done = [now.where("closed")]
     while True:
-        if level and parts == 1:
-            done.append(now)
+        open_ = now.where("not closed")
+        bins, members = open_.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+        fewer = max(-(-parts // FAN_IN), -(-bins // task_bins), -(-members // TASK_MEMBERS))
+        if not bins or (level and fewer >= parts):
+            done.append(open_)
             break
+        level, parts = level + 1, fewer
+        now = written(open_.repartition(parts, "sequence_id").mapInArrow(trimmed(_pack_again(level, capacity, slack)), _BINS))
         done.append(now.where("closed"))
-        level, parts = level + 1, -(-parts // FAN_IN)
-        open_ = now.where("not closed")
-        open_ = open_.repartition(1) if parts == 1 else open_.repartition(parts, "sequence_id")
-        now = written(open_.mapInArrow(trimmed(_pack_again(level, capacity, slack)), _BINS))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

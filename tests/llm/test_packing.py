@@ -9,21 +9,19 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from foliant.llm.packing import WordEncoder, best_fit, pack
+from foliant.llm import packing
+from foliant.llm.packing import WordEncoder, best_fit, op4_best_fit_packing, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 _encoder = WordEncoder(PATH)
 _whole = Tokenizer.from_file(PATH)
-_whole.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
@@ -77,3 +75,30 @@ def test_pieces_and_sequences(docs, texts, tokenizer, parts, capacity):
 
 def test_no_documents(none):
     assert pack(none, PATH).count() == 0
+
+
+def test_open_bins_never_meet_in_one_task(spark, tmp_path, monkeypatch):
+    """Pieces of over half a sequence: no two go together, so the tree ends where partitions can't get fewer."""
+    docs = spark.createDataFrame([(k, "a " * 40) for k in range(256)], "doc_id long, text string").repartition(16)
+    most = []
+    plain = packing.written
+    monkeypatch.setattr(packing, "written", lambda df: (most.append(max(r["n"] for r in df.groupBy(packing.F.spark_partition_id()).agg(packing.F.count("*").alias("n")).collect())), plain(df))[1])
+    rows = pack(docs, PATH, capacity=64, task_bins=32).collect()
+    assert len({r.sequence_id for r in rows}) == 256 and max(most) < 96
+
+
+def test_query_against_one_best_fit(spark):
+    """The query's pieces, and about as few sequences as one best fit over all pieces takes."""
+    sf = "/root/testdata/sf0.01"
+    rows = op4_best_fit_packing(spark, sf).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    whole = Tokenizer.from_file(PATH)
+    want = []
+    for d, t in docs.items():
+        ids = whole.encode(t, add_special_tokens=False).ids + [1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want.append((d, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    _, fill = best_fit(sorted((w[3] for w in want), reverse=True), 4096)
+    assert len({r.sequence_id for r in rows}) <= len(fill) * 1.02 + 1
