@@ -98,7 +98,7 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int =
     return doc, at - begin[doc], hashes[at].view(np.int64), context.view(np.int64)
 
 
-_ROW = "key long, kind byte, anchor long, context long, doc long, tie int, at int, left short, right short"
+_ROW = "key long, kind byte, anchor long, context long, doc long, tie long, at int, left short, right short"
 
 
 def _rows(key, kind, anchor, context, doc, tie, at, left, right) -> pa.RecordBatch:
@@ -145,7 +145,7 @@ def _find_anchors(length: int, width: int):
     return run
 
 
-_FOUND = "mark boolean, anchor long, part int, doc long, tie int, first int, last int"
+_FOUND = "mark boolean, anchor long, part int, doc long, tie long, first int, last int"
 
 
 def _found(mark: bool, anchor, doc, tie, first, last, part=None) -> pa.RecordBatch:
@@ -230,9 +230,10 @@ def _cut_contexts():
 
 
 #: A row marks removed bytes, or holds a run: digests of a part's different strings in one range, sorted, and where they start.
-_SEARCHED = "mark boolean, digests int, run binary, doc long, tie int, first int, last int"
-_RUN = np.dtype([("d0", "<i8"), ("d1", "<i8"), ("doc", "<i8"), ("tie", "<i4"), ("first", "<i4")])
-#: Ranges of digests.  A range of an anchor with n contexts has about 70 * n / 2**RANGE_BITS of them.
+_SEARCHED = "mark boolean, digests int, run binary, doc long, tie long, first int, last int"
+_RUN = np.dtype([("d0", "<i8"), ("d1", "<i8"), ("doc", "<i8"), ("tie", "<i8"), ("first", "<i4")])
+#: Digests are dealt to ranges of about so many; there are 2**RANGE_BITS ranges at least.
+RANGE_ROWS = 100_000
 RANGE_BITS = 12
 
 
@@ -249,7 +250,7 @@ def _digests(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return d0.view(np.int64), d1.view(np.int64)
 
 
-def _search_shards(length: int, shard_bytes: int, part_contexts: int):
+def _search_shards(length: int, shard_bytes: int, part_contexts: int, range_bits: int = RANGE_BITS):
     """Whole parts of anchors in, sorted; removed bytes out, found by suffix arrays.
 
     Of an anchor that has several parts also the digests of each part's different strings
@@ -264,12 +265,12 @@ def _search_shards(length: int, shard_bytes: int, part_contexts: int):
         return np.frombuffer(b"".join(raws), np.uint8), np.repeat(sizes, sizes) - inside, np.repeat(rank0 << 32, sizes) + np.repeat(first, sizes) + inside
 
     def out(mark: bool, digests: np.ndarray, runs: list[bytes | None], who: np.ndarray, first, last) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(who), mark)), pa.array(digests.astype(np.int32)), pa.array(runs, pa.binary()), pa.array(who[:, 0]), pa.array(who[:, 1].astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["mark", "digests", "run", "doc", "tie", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(who), mark)), pa.array(digests.astype(np.int32)), pa.array(runs, pa.binary()), pa.array(who[:, 0]), pa.array(who[:, 1]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["mark", "digests", "run", "doc", "tie", "first", "last"])
 
     def runs_of(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """A part's strings as one sorted run for each range of digests."""
         rows = np.sort(np.concatenate(found), order=["d0", "d1", "doc", "tie", "first"])
-        where = rows["d0"].view(np.uint64) >> _M(64 - RANGE_BITS)
+        where = rows["d0"].view(np.uint64) >> _M(64 - range_bits)
         order = np.argsort(where, kind="stable")  # signed and unsigned order differ
         rows, where = rows[order], where[order]
         a = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
@@ -422,12 +423,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id, or in the same one before.  Matches never cross documents and are judged on the input.
     Null text counts as empty.  A null id comes before all others.  Rows of equal id
     and equal text are one document: each gets its result.  Rows of equal id and different
-    texts come one before the other by the texts' checksums.  Columns of ``df`` stay.
+    texts come one before the other by the texts' 64-bit hashes.  Columns of ``df`` stay.
     """
     spark = df.sparkSession
     short_batches(spark)
     source = df.withColumn("__raw", F.coalesce(df[text_col].cast("string"), F.lit("")).cast("binary"))
-    source = source.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("__tie", (F.crc32("__raw") - F.lit(1 << 31)).cast("int"))
+    source = source.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("__tie", F.xxhash64("__raw"))
     bare = source.select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), F.col("__raw").alias("raw"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = bare.where(F.octet_length("raw") >= length).mapInArrow(trimmed(_find_anchors(length, ANCHOR)), _ROW)
@@ -435,11 +436,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = written(rows.mapInArrow(trimmed(_by_anchor(length, ANCHOR, part_contexts)), _FOUND))
 
     asked = found.where("not mark").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "part", "first", "last")).alias("asked"))
-    cut = bare.join(asked, ["doc", "tie"]).mapInArrow(trimmed(_cut_contexts()), "anchor long, part int, doc long, tie int, first int, raw binary")
+    cut = bare.join(asked, ["doc", "tie"]).mapInArrow(trimmed(_cut_contexts()), "anchor long, part int, doc long, tie long, first int, raw binary")
+    # Strings that the runs of split anchors can hold: a context has at most length - ANCHOR + 1 of them.
+    many = found.where("not mark and part > 0").count() * (length - ANCHOR + 1)
+    range_bits = min(24, max(RANGE_BITS, (2 * many // RANGE_ROWS).bit_length()))
     cut = cut.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part", "doc", "tie", "first")
-    searched = written(cut.mapInArrow(trimmed(_search_shards(length, shard_bytes, part_contexts)), _SEARCHED))
+    searched = written(cut.mapInArrow(trimmed(_search_shards(length, shard_bytes, part_contexts, range_bits)), _SEARCHED))
     across = searched.where("not mark").select("digests", "run").repartition(parts, "digests").sortWithinPartitions("digests")
-    across = across.mapInArrow(trimmed(_merge_runs(length)), "doc long, tie int, first int, last int")
+    across = across.mapInArrow(trimmed(_merge_runs(length)), "doc long, tie long, first int, last int")
 
     marks = found.where("mark").select("doc", "tie", "first", "last").unionByName(searched.where("mark").select("doc", "tie", "first", "last")).unionByName(across)
     marks = marks.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("__marks"))
