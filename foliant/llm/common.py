@@ -59,30 +59,25 @@ def written(df: DataFrame) -> DataFrame:
 _paths: list[str] = []
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables that ``written`` made, all of them or those after the first ``since``.
+def tables_written() -> int:
+    return len(_paths)
+
+
+def release(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Delete the tables that ``written`` made, all of them or those after the first ``since``, but the last ones.
 
     A result reads them when it is computed, so release them after its last use.  What is left goes when
     the driver ends; after a driver that was killed, the folder foliant-<application id> may be deleted by hand.
     """
-    gone = _paths[since:]
-    del _paths[since:]
+    end = len(_paths) - but_last
+    gone = _paths[since:end]
+    del _paths[since:end]
     with contextlib.suppress(Exception):  # a stopped session deletes nothing
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for p in map(jvm.org.apache.hadoop.fs.Path, gone):
             p.getFileSystem(conf).delete(p, True)
 
 
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are released at the end: the block must have used up all that reads them."""
-    since = len(_paths)
-    try:
-        yield
-    finally:
-        release(spark, since)
-
-
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from foliant.llm import dedup, packing, quality, rules, secrets, sentencepieces, sharding, simhash, sql, topk, toxicity
+from foliant.llm import dedup, packing, pipeline, quality, rules, secrets, sentencepieces, sharding, simhash, sql, topk, toxicity
 from foliant.llm.common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_sharding": sharding.op2_sharding,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,

@@ -367,13 +367,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     the pairs, the texts themselves decide each link.  Each point's members are held against its hub; where they are not
     all connected then, against each other.  Texts without a word are one group.  Null
     text counts as empty; a null id is smaller than any other.  Of rows of one id the smaller
-    checksum of the text decides, of equal rows one stays.  Columns of ``df`` stay as they are.
+    64-bit hash of the text decides, of equal rows one stays.  Columns of ``df`` stay as they are.
     """
     short_batches(df.sparkSession)
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    keyed = df.withColumn("__id", F.coalesce(df[id_col].cast("long"), F.lit(_FIRST_ID))).withColumn("__crc", F.crc32(text.cast("binary")))
-    rows = written(keyed.select("__id", "__crc", set_udf(words)(text).alias("s")).select("__id", "__crc", "s.node", "s.bands"))
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct("__id", "__crc")).alias("low"), F.first("bands").alias("bands")))
+    keyed = df.withColumn("__id", F.coalesce(df[id_col].cast("long"), F.lit(_FIRST_ID))).withColumn("__hash", F.xxhash64(text))
+    rows = written(keyed.select("__id", "__hash", set_udf(words)(text).alias("s")).select("__id", "__hash", "s.node", "s.bands"))
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct("__id", "__hash")).alias("low"), F.first("bands").alias("bands")))
     points = points_of(nodes)
 
     first = written(hub_pairs(points))
@@ -383,17 +383,17 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     roots = components(found).withColumnRenamed("node", "__n")
     named = nodes.join(roots, F.col("node") == F.col("__n"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("low").alias("low"))
-    keep = named.select(F.col("low.__id").alias("__kid"), F.col("low.__crc").alias("__kcrc"))
-    kept = keyed.join(keep, (F.col("__id") == F.col("__kid")) & (F.col("__crc") == F.col("__kcrc")), "left_semi")
-    return kept.dropDuplicates(["__id", "__crc"]).select(*df.columns)
+    keep = named.select(F.col("low.__id").alias("__kid"), F.col("low.__hash").alias("__khash"))
+    kept = keyed.join(keep, (F.col("__id") == F.col("__kid")) & (F.col("__hash") == F.col("__khash")), "left_semi")
+    return kept.dropDuplicates(["__id", "__hash"]).select(*df.columns)
 
 
 def _texts(keyed: DataFrame, text: Column, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """(node, text) of the nodes asked for, each once, from the row that names the node."""
     ends = asked.select(F.col("node").alias("__n")).distinct()
-    named = nodes.join(ends, F.col("node") == F.col("__n")).select("node", F.col("low.__id").alias("__kid"), F.col("low.__crc").alias("__kcrc"))
-    own = keyed.select("__id", "__crc", text.alias("__text"))
-    met = own.join(named, (F.col("__id") == F.col("__kid")) & (F.col("__crc") == F.col("__kcrc"))).select("node", F.col("__text").alias("text"))
+    named = nodes.join(ends, F.col("node") == F.col("__n")).select("node", F.col("low.__id").alias("__kid"), F.col("low.__hash").alias("__khash"))
+    own = keyed.select("__id", "__hash", text.alias("__text"))
+    met = own.join(named, (F.col("__id") == F.col("__kid")) & (F.col("__hash") == F.col("__khash"))).select("node", F.col("__text").alias("text"))
     return written(met.dropDuplicates(["node"]))
 
 
