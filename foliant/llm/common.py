@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: texts may be long, so batches stay short.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: texts may be long, so batches stay short.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 _own_dir: list[str] = []
 
@@ -80,6 +80,7 @@ def release(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
 
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,13 +127,18 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             yield from run(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return outer
 
 
+def give_back() -> None:
+    """Freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordMemo:
     """Bytes made of words, kept for words that come again, in two generations of bounded size.
 

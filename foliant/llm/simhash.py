@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_text, short_batches, table, trimmed, written
+from foliant.llm.common import give_back, id_text, short_batches, table, trimmed, written
 from foliant.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -193,7 +193,10 @@ def set_udf(words: int):
             s = shingle_set(t.as_py(), words)
             nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0)
             bands.append(band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
-        return pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
+        out = pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
+        del nodes, bands
+        give_back()
+        return out
 
     return udf
 
@@ -211,6 +214,8 @@ def near_udf(words: int, similarity: float):
             s = set(shingle_hashes(b.as_py(), words))
             both = len(held & s)
             out.append(both / max(1, len(held) + len(s) - both) >= similarity)
+        held = s = None
+        give_back()
         return pa.array(out, pa.bool_())
 
     return udf
