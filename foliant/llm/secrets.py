@@ -10,7 +10,8 @@ from foliant.llm.common import free_name, table
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # runs are whole either way, so the least length may stand in the pattern
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+CANDIDATE_LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{CANDIDATE_LEAST},}}"
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 WINDOW = 20
@@ -68,13 +69,22 @@ def _entropy(name: str, spans: str) -> str:
     return f"filter({narrowed}, x -> x.start IS NOT NULL)"
 
 
+def _pieces(runs: str, base: str) -> str:
+    """SQL for what base spans leave of the runs: stretches long enough, with a letter and a digit."""
+    end = "coalesce(array_min(transform(filter(o, b -> b.start > p), b -> b.start)), x.end)"
+    piece = f"transform(array({end}), e -> named_struct('start', p, 'kind', x.kind, 'end', e, 's', substring(x.s, p - x.start + 1, e - p)))[0]"
+    starts = "filter(array_distinct(concat(array(x.start), transform(o, b -> b.end))), p -> p < x.end AND NOT exists(o, b -> b.start <= p AND p < b.end))"
+    left = f"transform(array(filter({base}, b -> b.start < x.end AND x.start < b.end)), o -> if(size(o) = 0, array(x), transform({starts}, p -> {piece})))[0]"
+    return f"filter(flatten(transform({runs}, x -> {left})), x -> x.end - x.start >= {CANDIDATE_LEAST} AND x.s RLIKE '[0-9]' AND x.s RLIKE '[A-Za-z]')"
+
+
 def find_secrets(df: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, base: str = "base_spans", name: str = "spans") -> DataFrame:
     """``df`` with the columns ``base`` and ``name``, base spans and all spans: arrays of (start, kind number, end, s), by start and then kind.
 
     Base spans are the three patterns' matches.  Candidates for added spans are runs of 20 and more
-    characters with a letter and a digit; each belongs to one class, hexadecimal or
-    base64, and is narrowed to its windows of high entropy.  Added spans that touch a base span
-    or hold an allowed word are suppressed; base spans always stay.
+    characters with a letter and a digit, or as long stretches of them between base spans; each belongs to one class,
+    hexadecimal or base64, and is narrowed to its windows of high entropy.  Added spans that
+    hold an allowed word are suppressed; base spans always stay.
 
     Null and empty texts have no spans.  Only the text is looked at; rows with any nulls,
     repeated rows and further columns stay as they are; where one has a name given, the new one gets an underscore more.
@@ -88,11 +98,12 @@ def find_secrets(df: DataFrame, text_col: str = "text", allowed: tuple[str, ...]
     # A digit somewhere is needed, so texts without one skip the search for runs.
     t = t.withColumn("__runs", F.expr(f"if(__t RLIKE '[A-Za-z0-9+/=_-]{{0,19}}[0-9]' AND __t RLIKE '[A-Za-z0-9+/=_-]{{20}}', filter({_spans('__t', CANDIDATE, 0)}, x -> x.s RLIKE '[0-9]' AND x.s RLIKE '[A-Za-z]'), {empty})"))
     t = t.withColumn(base, F.expr("array_sort(concat(__assign, __access, __hex))"))
+    t = t.withColumn("__runs", F.expr(f"if(size(__runs) = 0, __runs, {_pieces('__runs', f'`{base}`')})"))
     hex_, rest = "filter(__runs, x -> x.s RLIKE '^[0-9a-fA-F]+$')", "filter(__runs, x -> NOT x.s RLIKE '^[0-9a-fA-F]+$')"
     added = f"if(size(__runs) = 0, {empty}, concat({_entropy('entropy_hex', hex_)}, {_entropy('entropy_base64', rest)}))"
     t = t.withColumn("__added", F.expr(added))
     listed = " OR ".join(f"contains(lower(x.s), '{w.lower()}')" for w in allowed) or "false"
-    t = t.withColumn(name, F.expr(f"if(size(__added) = 0, `{base}`, array_sort(concat(`{base}`, filter(__added, x -> NOT ({listed}) AND NOT exists(`{base}`, b -> b.start < x.end AND x.start < b.end)))))"))
+    t = t.withColumn(name, F.expr(f"if(size(__added) = 0, `{base}`, array_sort(concat(`{base}`, filter(__added, x -> NOT ({listed})))))"))
     return t.drop("__t", "__assign", "__access", "__hex", "__runs", "__added")
 
 

@@ -57,15 +57,21 @@ def _op7() -> str:
 WITH d AS ({_DOCS}),
 base AS ({_matches(0, _ASSIGN, 2, secrets.ASSIGN_LEAST)} UNION ALL {_matches(1, 'AKIA[A-Z0-9]+', 0, 20)} UNION ALL {_matches(2, '[0-9a-f]+', 0, 24)}),
 runs AS ({_matches(0, secrets.CANDIDATE)}),
+starts AS (
+  SELECT doc_id, a AS ra, a + n AS re, s, a AS p FROM runs
+  UNION SELECT r.doc_id, r.a, r.a + r.n, r.s, CAST(b.a + b.n AS INTEGER) FROM runs r JOIN base b ON b.doc_id = r.doc_id AND b.a < r.a + r.n AND r.a < b.a + b.n AND b.a + b.n < r.a + r.n),
+free AS (SELECT * FROM starts t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.a <= t.p AND t.p < b.a + b.n)),
+ends AS (SELECT f.doc_id, f.ra, f.re, f.s, f.p, min(b.a) AS e FROM free f LEFT JOIN base b ON b.doc_id = f.doc_id AND b.a > f.p AND b.a < f.re GROUP BY ALL),
+piece AS (SELECT doc_id, p AS a, substr(s, p - ra + 1, coalesce(e, re) - p) AS s FROM ends),
 cand AS (
   SELECT doc_id, a, s, CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') THEN 3 ELSE 4 END AS kind
-  FROM runs WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')),
+  FROM piece WHERE length(s) >= {secrets.CANDIDATE_LEAST} AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')),
 win AS (SELECT doc_id, a, kind, s, unnest(range(0, length(s) - {w - 1})) AS i FROM cand),
 hot AS (SELECT doc_id, a, kind, s, min(i) AS lo, max(i) + {w} AS hi FROM win WHERE list_aggregate(string_split(substr(s, i + 1, {w}), ''), 'entropy') >= CASE kind {limits} END GROUP BY doc_id, a, kind, s),
 cut AS (SELECT doc_id, kind, CAST(a + lo AS INTEGER) AS a, hi - lo AS n, substr(s, lo + 1, hi - lo) AS s FROM hot),
 added AS (
   SELECT cut.* FROM cut
-  WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = cut.doc_id AND b.a < cut.a + cut.n AND cut.a < b.a + b.n)),
+  WHERE NOT ({allowed})),
 both_ AS (SELECT doc_id, kind, a, n FROM base UNION ALL SELECT doc_id, kind, a, n FROM added),
 bl AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, string_agg({shown}, ',' ORDER BY a, kind) AS l FROM base GROUP BY doc_id),
 al AS (SELECT doc_id, string_agg({shown}, ',' ORDER BY a, kind) AS l FROM both_ GROUP BY doc_id)
