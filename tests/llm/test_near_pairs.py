@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from foliant.llm import simhash
 
@@ -96,3 +97,54 @@ def test_links_of_sets_in_small_blocks():
             return root
 
         assert groups(pairs) == groups([(a, b) for a in range(90) for b in range(a) if far(sets[a], sets[b]) >= 0.8])
+
+
+def test_fingerprints_of_near_sets_meet_in_a_segment():
+    r = np.random.default_rng(6)
+    for home in (0, 6):
+        most, segments = simhash.tables(0.8, home)
+        for size in (9, 45, 450):  # a tenth on each side is its own, so 0.8 of all is shared
+            own = size // 9
+            sets = [r.integers(0, 1 << 63, size + own, np.uint64) for _ in range(500)]
+            a = np.array([simhash.wide_fingerprint(s[:size]) for s in sets])
+            b = np.array([simhash.wide_fingerprint(s[own:]) for s in sets])
+            assert (np.bitwise_count(a ^ b).sum(axis=1) <= most).all()
+            balls = np.stack([np.bitwise_count(simhash.near_values(a, s) ^ simhash.near_values(b, s)) <= simhash.NEAR_RADIUS for s in segments], axis=1)
+            assert ((simhash.cells(a, segments) == simhash.cells(b, segments)) & balls).any(axis=1).all()
+            assert (np.bitwise_count(a[1:] ^ b[:-1]).sum(axis=1) > most).all()
+
+
+@pytest.mark.parametrize("home,tile", [(0, 1000), (3, 1000), (2, 16)])
+def test_close_links_connect_what_brute_force_connects(spark, home, tile):
+    """Fingerprints that share a cell and a ball are linked by their complete distance alone; large cells go in pairs of tiles."""
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 63, (30, simhash.WIDE), np.uint64)
+    w = np.concatenate([base] + [base ^ np.packbits(r.random((30, simhash.WIDE_BITS)) < p, axis=1, bitorder="little").view("<u8") for p in (0.1, 0.2, 0.3, 0.3, 0.3)])
+    most, segments = simhash.tables(0.8, home)
+    balls = sum(
+        (np.bitwise_count(n[:, None] ^ n[None, :]) <= simhash.NEAR_RADIUS) & (c[:, None] == c[None, :])
+        for n, c in zip((simhash.near_values(w, s) for s in segments), simhash.cells(w, segments).T)
+    )
+    far = np.bitwise_count(w[:, None] ^ w[None, :]).sum(axis=2)
+    want = {(i, j) for i, j in np.argwhere((balls > 0) & (far <= most)).tolist() if j < i}
+    assert ((balls > 0) & (far > most)).any() and len(want) > 60
+    rows = [(i, *x) for i, x in enumerate(w.view(np.int64).tolist())]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"w{k} long" for k in range(simhash.WIDE)))
+    got = {(max(x), min(x)) for x in simhash.close_links(nodes, 0.8, home, tile).collect()}
+    assert got <= want and roots_of(got, len(w)) == roots_of(want, len(w))
+
+
+def roots_of(links, n):
+    root = list(range(n))
+    for a, b in links:
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    return root
+
+
+def test_the_stage_finds_its_pairs_by_fingerprints(spark, monkeypatch):
+    r = random.Random(8)
+    w = words(r, 200)
+    texts = [" ".join(w), " ".join(edited(r, w, 1)), " ".join(words(r, 200))]
+    assert kept(spark, texts) == [0, 2]
+    monkeypatch.setattr(simhash, "close_links", lambda nodes, similarity: spark.createDataFrame([], "u long, v long"))
+    assert kept(spark, texts) == [0, 1, 2]
