@@ -429,9 +429,9 @@ def close_links(nodes: DataFrame, similarity: float, home: int | None = None, ti
     tile = tile or max(TILE, math.ceil(16 * math.sqrt(rows)))
     most, segments = tables(similarity, home)
     words = ", ".join(f"w{k} long" for k in range(WIDE))
-    count = nodes.mapInArrow(_cells_of(segments, False), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    count = nodes.mapInArrow(trimmed(_cells_of(segments, False)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     large = written(count.where(F.col("n") > 2 * tile).select("cell", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
-    dealt = nodes.mapInArrow(_cells_of(segments, True), f"cell long, node long, {words}")
+    dealt = nodes.mapInArrow(trimmed(_cells_of(segments, True)), f"cell long, node long, {words}")
     if large.isEmpty():
         dealt = dealt.withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
     else:  # a pair of tiles holds each of the two in full
